@@ -9,6 +9,7 @@ from shardloom.llm.counts import count_tokens
 from shardloom.llm.decontaminate import contamination
 from shardloom.llm.encode import encode_documents
 from shardloom.llm.exact import exact_groups
+from shardloom.llm.near import near_classes
 from shardloom.llm.shared import table
 
 LIMIT = 1024  # tokens, of op3's over_limit
@@ -30,6 +31,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
