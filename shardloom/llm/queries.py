@@ -9,7 +9,10 @@ from shardloom.llm.counts import count_tokens
 from shardloom.llm.decontaminate import contamination
 from shardloom.llm.encode import encode_documents
 from shardloom.llm.exact import exact_groups
+from shardloom.llm.ftrl import crc_mod
+from shardloom.llm.language import languages, train_language
 from shardloom.llm.near import near_classes
+from shardloom.llm.quality import THRESHOLD, quality_scores, train_quality
 from shardloom.llm.shared import table
 
 LIMIT = 1024  # tokens, of op3's over_limit
@@ -31,6 +34,18 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = quality_scores(docs, train_quality(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = languages(docs, train_language(docs))
+    return out.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents"))
 
