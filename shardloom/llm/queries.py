@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardloom.llm.counts import count_tokens
+from shardloom.llm.dac import read_codes, write_codes
 from shardloom.llm.decontaminate import contamination
 from shardloom.llm.encode import encode_documents
 from shardloom.llm.exact import exact_groups
@@ -13,7 +14,7 @@ from shardloom.llm.ftrl import crc_mod
 from shardloom.llm.language import languages, train_language
 from shardloom.llm.near import near_classes
 from shardloom.llm.quality import THRESHOLD, quality_scores, train_quality
-from shardloom.llm.shared import table
+from shardloom.llm.shared import shared_path, table
 
 LIMIT = 1024  # tokens, of op3's over_limit
 
@@ -46,6 +47,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "token-files")
+    write_codes(table(spark, sf_dir, "documents"), path, vocabulary())
+    return read_codes(spark, path)
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents"))
 
