@@ -12,8 +12,10 @@ from shardloom.llm.encode import encode_documents
 from shardloom.llm.exact import exact_groups
 from shardloom.llm.ftrl import crc_mod
 from shardloom.llm.language import languages, train_language
+from shardloom.llm.licenses import licence_findings
 from shardloom.llm.near import near_classes
 from shardloom.llm.quality import THRESHOLD, quality_scores, train_quality
+from shardloom.llm.secrets import secret_findings
 from shardloom.llm.shared import shared_path, table
 
 LIMIT = 1024  # tokens, of op3's over_limit
@@ -30,6 +32,10 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_findings(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = count_tokens(table(spark, sf_dir, "documents"), vocabulary())
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
@@ -89,6 +95,10 @@ from d left join n_hit using (doc_id) left join its using (doc_id)
 """
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_findings(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).withColumnRenamed("digest", "text_sha256")
 
