@@ -5,24 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What counts as a word, and the case folding of ASCII letters alone.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words (once A-Z are folded), and the folding of ASCII letters alone.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW = 10
 #: Up to so many windows (some hundred bytes each) they are broadcast; beyond, they are joined by shuffle.
 BROADCAST_WINDOWS = 100_000
 
 
-def words_of(text: Column) -> Column:
-    """Words of a text in order. Texts in ASCII alone take the faster function."""
-    text = F.coalesce(text, F.lit(""))
-    folded = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-    return F.regexp_extract_all(folded, F.lit(WORD), F.lit(0))
+def pieces(text: Column) -> Column:
+    """Words of a text in order, not folded, with an empty string before a leading and after a trailing gap."""
+    return F.split(F.coalesce(text, F.lit("")), BETWEEN, -1)
+
+
+def fold(text: Column) -> Column:
+    """A-Z in lower case, anything else as it is. Text in ASCII alone takes the faster function."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
+def n_words(text: Column) -> Column:
+    ws = pieces(text)
+    return (F.size(ws) - F.when(ws[0] == "", 1).otherwise(0) - F.when((F.size(ws) > 1) & (F.element_at(ws, -1) == ""), 1).otherwise(0)).cast("bigint")
 
 
 def item_windows(items: DataFrame, width: int = WINDOW, text: str = "text", key: str = "item_id") -> DataFrame:
     """Distinct windows of the items: (w: array of words, items: array of keys as strings)."""
-    words = items.select(F.col(key).cast("string").alias("item"), words_of(F.col(text)).alias("ws")).where(F.size("ws") > 0)
+    words = items.select(F.col(key).cast("string").alias("item"), F.array_remove(F.transform(pieces(F.col(text)), fold), "").alias("ws")).where(F.size("ws") > 0)
     each = words.select("item", F.expr(f"explode(transform(sequence(0, greatest(size(ws) - {width}, 0)), i -> slice(ws, i + 1, {width})))").alias("w"))
     return each.groupBy("w").agg(F.collect_set("item").alias("items"))
 
@@ -43,18 +51,19 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW, text:
     small = windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     hint = F.broadcast if small else (lambda df: df)
     rows = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
-    worded = rows.select("k", "h", words_of(F.col("t")).alias("ws"))
+    # a leading empty piece moves all places of a document by one, which changes no distance between them
+    worded = rows.select("k", "h", pieces(F.col("t")).alias("ws"))
 
     vocabulary = windows.select(F.explode("w").alias("word")).distinct()
-    counts = worded.select(F.explode("ws").alias("word")).join(hint(vocabulary), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counts = worded.select(F.explode("ws").alias("raw")).select(fold(F.col("raw")).alias("word")).join(hint(vocabulary), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     placed = windows.select("id", F.posexplode("w").alias("at", "word"))
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "at")).alias("r")
     first = placed.join(counts, "word", "left").groupBy("id").agg(rarest)
-    windows = windows.join(first, "id").select("w", "items", F.col("r.word").alias("word"), F.col("r.at").alias("at"), F.size("w").alias("len"))
+    windows = windows.join(first, "id").select("w", "items", F.col("r.word").alias("word"), F.col("r.at").alias("at"), F.size("w").alias("len"), F.array_join("w", " ").alias("said"))
 
-    spots = worded.select("k", "h", "ws", F.posexplode("ws").alias("pos", "word"))
+    spots = worded.select("k", "h", "ws", F.posexplode("ws").alias("pos", "raw")).select("k", "h", "ws", "pos", fold(F.col("raw")).alias("word"))
     there = (F.col("pos") >= F.col("at")) & (F.col("pos") - F.col("at") + F.col("len") <= F.size("ws"))
-    same = F.expr("slice(ws, pos - at + 1, len) = w")
+    same = fold(F.expr("array_join(slice(ws, pos - at + 1, len), ' ')")) == F.col("said")
     found = spots.join(hint(windows), (spots.word == windows.word) & F.when(there, same).otherwise(False))
     hits = (
         found.select("k", "h", F.struct((F.col("pos") - F.col("at")).alias("s"), F.col("len")).alias("span"), "items")
@@ -70,7 +79,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW, text:
             F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"),
         )
     )
-    sized = rows.select("k", "h", F.size(F.regexp_extract_all(F.coalesce("t", F.lit("")), F.lit(WORD.replace(r"\x60", r"\x40\x5B-\x60")), F.lit(0))).cast("bigint").alias("n_words"))
+    sized = rows.select("k", "h", n_words(F.col("t")).alias("n_words"))
     joined = sized.alias("a").join(hits.alias("b"), F.col("a.k").eqNullSafe(F.col("b.k")) & F.col("a.h").eqNullSafe(F.col("b.h")), "left")
     listed = F.coalesce("b.items", F.array().cast("array<string>"))
     n_hit = F.coalesce("b.n_hit", F.lit(0).cast("bigint"))
