@@ -15,13 +15,15 @@ K = 5  # words in a k-mer
 PICK = 2  # k-mers in a sketch, in the order of the text
 SKETCHES = 20
 SIMILARITY = 0.8
-#: Buckets of up to so many texts give all pairs; in larger ones every text meets HUBS others.
+#: Buckets of up to so many texts give all pairs; in larger ones every text meets three others, and as many more as this if that left it apart.
 SMALL = 16
-HUBS = 3
+MORE_HUBS = 3
 #: Up to so many text ids are broadcast; beyond, they are joined by shuffle.
 BROADCAST_ROWS = 500_000
 #: Rows of two word lists each in an Arrow batch.
 PAIR_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500"}
+#: Documents in one.
+TEXT_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 NONE = np.uint64(2**64 - 1)
 
 
@@ -74,7 +76,7 @@ def sketches(docs: DataFrame, text: str, key: str) -> DataFrame:
             for a, b, raw, off in byte_blocks(batch.column(1)):
                 hashes, w_off, keys, n = sketch_block(raw, off)
                 d1, d2 = sequences(hashes, w_off, 1), sequences(hashes, w_off, 2)
-                small = (hashes >> np.uint64(32)).astype("<i4").tobytes()
+                small = (hashes >> np.uint64(33)).astype("<i4").tobytes()
                 n_words = np.diff(w_off)
                 rows = keys.T.astype(np.uint64).view(np.int64)
                 has = n > 0
@@ -102,20 +104,35 @@ def sketches(docs: DataFrame, text: str, key: str) -> DataFrame:
 # -- alignment -------------------------------------------------------------------------------------
 
 
-def common_words(a: np.ndarray, b: np.ndarray) -> int:
-    """Words in both, with repeats: max(len) less this is a lower bound of the edit distance."""
-    ua, ca = np.unique(a, return_counts=True)
-    ub, cb = np.unique(b, return_counts=True)
-    _, i, j = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
-    return int(np.minimum(ca[i], cb[j]).sum())
+Q = 3
+
+
+def may_be_near(a: np.ndarray, b: np.ndarray, most: int) -> bool:
+    """False if the texts have too few runs of Q words in common, with repeats, for an edit distance of `most`.
+
+    An edit changes at most Q of a text's runs, so at least longer length - Q + 1 - Q * most must be left.
+    """
+    need = max(len(a), len(b)) - Q + 1 - Q * most
+    if need <= 0:
+        return True
+    x, y = (np.sort(sum(w[i : len(w) - Q + 1 + i].astype(np.int64) * (0x9E3779B1 * (2 * i + 1) ** 7) for i in range(Q))) if len(w) >= Q else np.zeros(0, np.int64) for w in (a, b))
+    both = np.concatenate((x, y))
+    both.sort(kind="stable")
+    same = both[1:] == both[:-1]
+    if int(same.sum()) < need:
+        return False
+    ux, cx = np.unique(x, return_counts=True)
+    uy, cy = np.unique(y, return_counts=True)
+    _, i, j = np.intersect1d(ux, uy, assume_unique=True, return_indices=True)
+    return int(np.minimum(cx[i], cy[j]).sum()) >= need
 
 
 def band_distance(pairs: list[tuple[np.ndarray, np.ndarray]], band: int) -> np.ndarray:
     """Edit distance of each pair within a band around the diagonal; exact wherever it is at most `band`."""
     na, nb = (np.array([len(p[i]) for p in pairs]) for i in (0, 1))
     top, width = int(na.max()), 2 * band + 1
-    a = np.full((len(pairs), top), -1 << 40, np.int64)
-    b = np.full((len(pairs), max(int(nb.max()), top) + width + 1), -2 << 40, np.int64)
+    a = np.full((len(pairs), top), -1, np.int32)
+    b = np.full((len(pairs), max(int(nb.max()), top) + width + 1), -2, np.int32)
     for i, (x, y) in enumerate(pairs):
         a[i, : len(x)] = x
         b[i, band : band + len(y)] = y
@@ -143,26 +160,28 @@ def band_distance(pairs: list[tuple[np.ndarray, np.ndarray]], band: int) -> np.n
 
 
 def similar(pairs: list[tuple[np.ndarray, np.ndarray]], least: float = SIMILARITY) -> np.ndarray:
-    """Edit similarity of word sequences, 1 - distance / longer length, where it is at least `least`; else 0.
+    """A lower bound, of at least `least`, of the edit similarity of word sequences, 1 - distance / longer length;
+    0 where the similarity is less.
 
-    Pairs whose common words alone rule it out go first. The others are aligned in a narrow band, which
-    widens fourfold for those that don't fit until it covers every distance that is near enough.
+    Pairs whose common runs of words alone rule it out go first. The others are aligned in a narrow band. An
+    alignment in it that is good enough settles a pair; for the others the band widens fourfold, until it
+    covers every distance that would do.
     """
     out = np.zeros(len(pairs))
     long = np.array([max(len(a), len(b), 1) for a, b in pairs])
     most = np.floor((1 - least) * long + 1e-9).astype(int)
-    todo = [i for i, (a, b) in enumerate(pairs) if max(len(a), len(b)) - common_words(a, b) <= most[i]]
+    todo = [i for i, (a, b) in enumerate(pairs) if abs(len(a) - len(b)) <= most[i] and may_be_near(a, b, int(most[i]))]
     band = 8
     while todo:
         todo.sort(key=lambda i: long[i])
         rest, at = [], 0
         while at < len(todo):
-            size = max(1, min(512, 2_000_000 // int((long[todo[min(at + 511, len(todo) - 1)]] + 2 * band) * 2)))
+            size = max(1, min(512, 1_000_000 // int((long[todo[min(at + 511, len(todo) - 1)]] + 2 * band) * 2)))
             part = todo[at : at + size]
             at += size
             d = band_distance([pairs[i] for i in part], band)
             for i, x in zip(part, d.tolist(), strict=True):
-                if x <= min(band, most[i]):
+                if x <= most[i]:
                     out[i] = 1 - x / long[i]
                 elif band < most[i]:
                     rest.append(i)
@@ -189,49 +208,85 @@ def verify(pairs: DataFrame, least: float) -> DataFrame:
 # -- candidates and classes ------------------------------------------------------------------------
 
 
-def candidates(bands: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of texts that meet in a bucket, from rows (key, k, n).
-
-    Small buckets give all their pairs. In larger ones each text is paired with HUBS members: the one
-    that meets the most others over all its buckets (the origin of a family of copies does), and the
-    first ones by hashes of key and id, which differ between a text's buckets. So pairs stay
-    proportional to rows. Two similar texts share several buckets, most of them keyed by k-mers that no
-    large group has, and those are small.
-    """
+def buckets(bands: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, k, n, c) of buckets with c > 1 texts: of small ones, and of large ones with `central`, the sum of c over the text's buckets."""
     full = bands.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     met = through_table(bands.join(full, "key"), "near-buckets")
     central = met.groupBy("k").agg(F.sum("c").alias("central"))
-    small = met.where(F.col("c") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("k", "n"))).alias("m"))
-    within = small.select(F.explode(F.expr("flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x.k as a, y.k as b, x.n as na, y.n as nb))))")).alias("p")).select("p.*")
-    large = met.where(F.col("c") > SMALL).join(central, "k")
-    ranks = [F.struct("central", F.xxhash64("k").alias("h"), "k", "n")] + [F.struct(F.xxhash64("key", "k", F.lit(i)).alias("h"), "k", "n") for i in range(1, HUBS)]
-    hubs = large.groupBy("key").agg(F.array(*(F.struct(F.max(r)["k"].alias("k"), F.max(r)["n"].alias("n")) for r in ranks)).alias("hubs"))
-    to_hubs = large.join(hubs, "key").select(F.col("k").alias("x"), F.col("n").alias("nx"), F.explode("hubs").alias("y"))
-    to_hubs = to_hubs.where("x <> y.k").select(
-        F.least("x", "y.k").alias("a"), F.greatest("x", "y.k").alias("b"), F.least("nx", "y.n").alias("na"), F.greatest("nx", "y.n").alias("nb")
-    )
-    return within.unionByName(to_hubs).where(F.least("na", "nb") >= F.greatest("na", "nb") * SIMILARITY).select("a", "b").distinct()
+    return met.where(F.col("c") <= SMALL), through_table(met.where(F.col("c") > SMALL).join(central, "k"), "near-large")
+
+
+def ordered_pairs(pairs: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b, of rows (x, nx, y, ny) whose lengths allow a link."""
+    near = F.least("nx", "ny") >= F.greatest("nx", "ny") * SIMILARITY
+    return pairs.where(near & (F.col("x") != F.col("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def to_hubs(large: DataFrame, ranks: list, extra: list[str]) -> DataFrame:
+    """Each row of a large bucket with the bucket's first text by each rank, as (x, nx, y, ny) and the columns `extra` of both."""
+    hub = lambda r: F.max(F.struct(r.alias("r"), F.struct(F.col("k").alias("y"), F.col("n").alias("ny"), *(F.col(e).alias(f"{e}y") for e in extra)).alias("h")))["h"]
+    hubs = large.groupBy("key").agg(F.array(*(hub(r) for r in ranks)).alias("hubs"))
+    out = large.join(hubs, "key").select(F.col("k").alias("x"), F.col("n").alias("nx"), *(F.col(e).alias(f"{e}x") for e in extra), F.explode("hubs").alias("h"))
+    return out.select("x", "nx", *(f"{e}x" for e in extra), "h.*")
+
+
+def candidates(small: DataFrame, large: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of texts that meet in a bucket.
+
+    Small buckets give all their pairs. In larger ones each text is paired with a few others: the one that
+    meets the most others over all its buckets (the origin of a family of copies does), and the first by
+    two hash orders, which mostly is the same one in all buckets of a family. So pairs stay proportional
+    to texts.
+    """
+    m = small.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("k", "n"))).alias("m"))
+    within = m.select(F.explode(F.expr("flatten(transform(m, (v, i) -> transform(slice(m, i + 2, size(m)), w -> struct(v.k as x, v.n as nx, w.k as y, w.n as ny))))")).alias("p")).select("p.*")
+    ranks = [F.struct("central", F.xxhash64("k"))] + [F.struct(F.xxhash64("k", F.lit(i))) for i in (1, 2)]
+    return ordered_pairs(within.unionByName(to_hubs(large, ranks, [])))
+
+
+def more_candidates(large: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFrame:
+    """Pairs for texts of large buckets that aren't yet in the class of others they meet there.
+
+    Hubs now differ from bucket to bucket; pairs within a class, or tried before, are left out.
+    """
+    known = large.join(labels, "k", "left").withColumn("label", F.coalesce("label", "k"))
+    ranks = [F.struct(F.xxhash64("key", "k", F.lit(i))) for i in range(MORE_HUBS)]
+    return ordered_pairs(to_hubs(known, ranks, ["label"]).where("labelx <> labely")).join(tried, ["a", "b"], "left_anti")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(k, label): for each id in links (a, b) the smallest id connected to it.
 
-    Each round takes the smallest label among neighbours, then the label of that label, and writes the
-    labels to the shared folder; rounds end when none changes.
+    Each round maps every id to its smallest neighbour and that one's, and contracts the links by it; at
+    least half of the ids that still have links vanish. Links and labels go to the shared folder.
     """
-    both = through_table(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))), "near-links")
-    labels = through_table(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).select(F.col("u").alias("k"), "label"), "near-labels")
+    ids = links.select(F.col("a").alias("k")).union(links.select("b")).distinct()
+    labels = ids.select("k", F.col("k").alias("label"))
+    edges = links.select("a", "b")
     while True:
-        seen = both.join(labels.withColumnRenamed("k", "v"), "v").groupBy("u").agg(F.min("label").alias("m"))
-        low = labels.join(seen, labels.k == seen.u).select("k", "label", F.least("label", "m").alias("low"))
-        jump = low.alias("x").join(labels.alias("y"), F.col("x.low") == F.col("y.k")).select("x.k", "x.label", F.least("x.low", "y.label").alias("new"))
-        new = through_table(jump, "near-labels")
-        changed = not new.where("new <> label").isEmpty()
-        labels = new.select("k", F.col("new").alias("label"))
-        if not changed:
+        ends = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select("b", "a"))
+        low = through_table(ends.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("to")), "near-low")
+        hop = low.alias("x").join(low.alias("y"), F.col("x.to") == F.col("y.u")).select("x.u", F.col("y.to").alias("to"))
+        hop = through_table(hop, "near-hop")
+        moved = labels.join(hop, labels.label == hop.u, "left").select("k", F.coalesce("to", "label").alias("label"))
+        labels = through_table(moved, "near-labels")
+        a, b = hop.select(F.col("u").alias("a"), F.col("to").alias("ta")), hop.select(F.col("u").alias("b"), F.col("to").alias("tb"))
+        edges = through_table(edges.join(a, "a").join(b, "b").where("ta <> tb").select(F.col("ta").alias("a"), F.col("tb").alias("b")).distinct(), "near-edges")
+        if edges.isEmpty():
             return labels
 
 
+def check_pairs(pairs: DataFrame, table: DataFrame, least: float) -> DataFrame:
+    """The links among pairs (a, b), with their words from the sketch table."""
+    ids = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
+    if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
+    texts = through_table(table.select("k", "ws").join(ids, "k", "left_semi").dropDuplicates(["k"]), "near-texts")
+    both = pairs.join(texts.select(F.col("k").alias("a"), F.col("ws").alias("wa")), "a").join(texts.select(F.col("k").alias("b"), F.col("ws").alias("wb")), "b")
+    with settings(pairs.sparkSession, PAIR_BATCH):
+        return through_table(verify(both.select("a", "b", "wa", "wb"), least), "near-verified")
+
+
 def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
     """One row per input row: (key, class_id, n_links, kept).
 
@@ -246,21 +301,19 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", least
     occurrence-labelled five-word k-mers and keeps them in text order. Texts that share a share j of
     their k-mers meet with a chance of about 1 - (1 - j^2)^20: all but 1 in 10^8 at j = 0.8.
     """
-    spark = docs.sparkSession
     keyed = docs.where(F.col(key).isNotNull())
-    table = through_table(sketches(keyed, text, key), "near-sketches")
+    with settings(docs.sparkSession, TEXT_BATCH):
+        table = through_table(sketches(keyed, text, key), "near-sketches")
     copies = table.groupBy("d1", "d2").agg(F.min("k").alias("rep"))
     member = through_table(table.select("k", "d1", "d2").join(copies, ["d1", "d2"]).select("k", "rep"), "near-members")
     reps = member.where("k = rep").select("k").distinct()
     bands = table.select("k", "n", F.explode("keys").alias("key")).join(reps, "k", "left_semi").distinct()
-    pairs = through_table(candidates(bands), "near-pairs")
-    ids = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
-    if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
-    texts = through_table(table.select("k", "ws").join(ids, "k", "left_semi").dropDuplicates(["k"]), "near-texts")
-    both = pairs.join(texts.select(F.col("k").alias("a"), F.col("ws").alias("wa")), "a").join(texts.select(F.col("k").alias("b"), F.col("ws").alias("wb")), "b")
-    with settings(spark, PAIR_BATCH):
-        links = through_table(verify(both.select("a", "b", "wa", "wb"), least), "near-verified")
+    small, large = buckets(bands)
+    pairs = through_table(candidates(small, large), "near-pairs")
+    links = check_pairs(pairs, table, least)
+    if not links.isEmpty() and not large.isEmpty():
+        more = through_table(more_candidates(large, components(links), pairs), "near-pairs")
+        links = links.unionByName(check_pairs(more, table, least))
     degree = links.select(F.col("a").alias("rep")).unionAll(links.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     if links.isEmpty():
         named = member.select("k", F.col("rep").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
