@@ -87,7 +87,7 @@ PLAIN = [
     "The Apache helicopter landed near MIT in Cambridge.",
 ]
 #: A paragraph is looked at only if it has one of these parts of words, in lower case.
-CUES = ("licen", "copyright", "permission is", "permission to", "redistribut", "public domain", "unencumbered", "waived all")
+CUES = ("licen", "copyright", "permission is", "permission to", "redistribut", "public domain", "unencumbered", "waived all", "released under")
 N = 3  # n-grams of one to N words
 CERTAIN = 0.6  # least probability of a family
 COVERED = 0.6  # least share of a template's bigrams that confirms it
