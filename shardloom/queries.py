@@ -657,7 +657,7 @@ def rpo_rto(spark, d):
     return L.rpo_rto(_log(spark, d), "decided_ms", CUT_MS, CUT_MS, CUT_MS + 34_465)
 
 
-@query("manifest_page", LOG + f", k as (select decided_ms as t, sequence as s, tx_id as x from log order by decided_ms, sequence, tx_id offset 1000 limit 1) select tx_id, sequence, decided_ms from log, k where decided_ms between 1704067200000 and {CUT_MS} and (decided_ms, sequence, tx_id) > (1704500000000, 0, '') order by decided_ms, sequence, tx_id limit 200")
+@query("manifest_page", LOG + f" select tx_id, sequence, decided_ms from log where decided_ms between 1704067200000 and {CUT_MS} and (decided_ms, sequence, tx_id) > (1704500000000, 0, '') order by decided_ms, sequence, tx_id limit 200")
 def manifest_page(spark, d):
     return L.manifest_page(_log(spark, d), 1704067200000, CUT_MS, (1704500000000, 0, ""), 200).select("tx_id", "sequence", "decided_ms")
 
