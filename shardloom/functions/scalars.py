@@ -109,8 +109,8 @@ def iso(ts: Column) -> Column:
 
 
 def epoch_ms(ts: Column) -> Column:
-    """Milliseconds since 1970 of a timestamp without zone, taken as UTC."""
-    return (F.unix_micros(ts.cast("timestamp")) / 1000).cast("bigint")
+    """Milliseconds since 1970 of a timestamp without zone, taken as UTC whatever the session's zone."""
+    return F.floor(F.unix_micros(F.from_utc_timestamp(ts.cast("timestamp"), F.current_timezone())) / 1000).cast("bigint")
 
 
 def base64_text(text: Column) -> Column:
