@@ -15,7 +15,7 @@ from shardloom.llm.exact import exact_groups, normalised, sha256_of
 from shardloom.llm.near import near_classes
 from shardloom.llm.quality import THRESHOLD, quality_scores, train_quality
 from shardloom.llm.queries import vocabulary
-from shardloom.llm.shared import table, through_table
+from shardloom.llm.shared import drop_table, table, through_table
 
 #: Up to so many keys of rejected rows (some 16 bytes each) are broadcast; beyond, they are joined by shuffle.
 BROADCAST_ROWS = 500_000
@@ -72,7 +72,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = through_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            drop_table(before)
+        before = docs
     return docs

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 _B = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _BI = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-BLOCK = 2_000_000  # bytes handled at a time
+BLOCK = 400_000  # bytes handled at a time
 
 
 def mix(x):
@@ -34,22 +32,25 @@ IS_WORD = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
 _CODE = mix(np.arange(1, 257, dtype=np.uint64))
 
 
-@functools.lru_cache(maxsize=4)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << bits
-    out = []
-    for base in (_B, _BI):
-        p = np.full(n, base, np.uint64)
-        p[0] = 1
-        out.append(np.cumprod(p, dtype=np.uint64))
-    return out[0], out[1]
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """The first n powers of the base and of its inverse, or more; one pair of tables is kept and grows."""
+    if len(_POWERS[0]) < n:
+        size = 1 << n.bit_length()
+        for i, base in enumerate((_B, _BI)):
+            p = np.full(size, base, np.uint64)
+            p[0] = 1
+            _POWERS[i] = np.cumprod(p, dtype=np.uint64)
+    return _POWERS
 
 
 def _sums(values, starts, ends):
     """Hash of each run values[start:end], whatever its place."""
     if not len(values):
         return np.zeros(len(starts), np.uint64)
-    up, down = _powers(max(1, int(len(values)).bit_length()))
+    up, down = _powers(len(values))
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * up[: len(values)], dtype=np.uint64)))
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardloom.llm.bpe import _ODD, PATTERN, blocks, codec
-from shardloom.llm.shared import map_arrow
+from shardloom.llm.shared import bound_batches, map_arrow
 
 MAGIC = b"DAC1"
 RANK_BITS = 512
@@ -152,6 +152,7 @@ def write_codes(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, bl
     of a part follow each other, and so do parts. Null and empty texts have the end id alone; rows with a
     null key come first, with key -2**63; repeated rows are repeated. An empty table writes no blocks.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(key).cast("bigint"), F.expr("-9223372036854775807L - 1")).alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
     dealt = rows.repartitionByRange("k", "h").sortWithinPartitions("k", "h").select("k", "t")
 

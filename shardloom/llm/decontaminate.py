@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shardloom.llm.shared import through_table
+
 #: What stands between words (once A-Z are folded), and the folding of ASCII letters alone.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -79,6 +81,8 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW, text:
             F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"),
         )
     )
+    # a plain table of hits, so that the join below can be split or broadcast
+    hits = through_table(hits, "contamination-hits")
     sized = rows.select("k", "h", n_words(F.col("t")).alias("n_words"))
     joined = sized.alias("a").join(hits.alias("b"), F.col("a.k").eqNullSafe(F.col("b.k")) & F.col("a.h").eqNullSafe(F.col("b.h")), "left")
     listed = F.coalesce("b.items", F.array().cast("array<string>"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shardloom.llm.bytehash import byte_blocks, grams, mix, sequences, words
 from shardloom.llm.exact import settings
-from shardloom.llm.shared import map_arrow, through_table
+from shardloom.llm.shared import drop_table, map_arrow, through_table
 
 K = 5  # words in a k-mer
 PICK = 2  # k-mers in a sketch, in the order of the text
@@ -22,8 +22,6 @@ MORE_HUBS = 3
 BROADCAST_ROWS = 500_000
 #: Rows of two word lists each in an Arrow batch.
 PAIR_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500"}
-#: Documents in one.
-TEXT_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 NONE = np.uint64(2**64 - 1)
 
 
@@ -210,9 +208,9 @@ def verify(pairs: DataFrame, least: float) -> DataFrame:
 
 def buckets(bands: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (key, k, n, c) of buckets with c > 1 texts: of small ones, and of large ones with `central`, the sum of c over the text's buckets."""
-    full = bands.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    full = through_table(bands.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "near-full")
     met = through_table(bands.join(full, "key"), "near-buckets")
-    central = met.groupBy("k").agg(F.sum("c").alias("central"))
+    central = through_table(met.groupBy("k").agg(F.sum("c").alias("central")), "near-central")
     return met.where(F.col("c") <= SMALL), through_table(met.where(F.col("c") > SMALL).join(central, "k"), "near-large")
 
 
@@ -225,7 +223,7 @@ def ordered_pairs(pairs: DataFrame) -> DataFrame:
 def to_hubs(large: DataFrame, ranks: list, extra: list[str]) -> DataFrame:
     """Each row of a large bucket with the bucket's first text by each rank, as (x, nx, y, ny) and the columns `extra` of both."""
     hub = lambda r: F.max(F.struct(r.alias("r"), F.struct(F.col("k").alias("y"), F.col("n").alias("ny"), *(F.col(e).alias(f"{e}y") for e in extra)).alias("h")))["h"]
-    hubs = large.groupBy("key").agg(F.array(*(hub(r) for r in ranks)).alias("hubs"))
+    hubs = through_table(large.groupBy("key").agg(F.array(*(hub(r) for r in ranks)).alias("hubs")), "near-hubs")
     out = large.join(hubs, "key").select(F.col("k").alias("x"), F.col("n").alias("nx"), *(F.col(e).alias(f"{e}x") for e in extra), F.explode("hubs").alias("h"))
     return out.select("x", "nx", *(f"{e}x" for e in extra), "h.*")
 
@@ -284,7 +282,9 @@ def check_pairs(pairs: DataFrame, table: DataFrame, least: float) -> DataFrame:
     texts = through_table(table.select("k", "ws").join(ids, "k", "left_semi").dropDuplicates(["k"]), "near-texts")
     both = pairs.join(texts.select(F.col("k").alias("a"), F.col("ws").alias("wa")), "a").join(texts.select(F.col("k").alias("b"), F.col("ws").alias("wb")), "b")
     with settings(pairs.sparkSession, PAIR_BATCH):
-        return through_table(verify(both.select("a", "b", "wa", "wb"), least), "near-verified")
+        links = through_table(verify(both.select("a", "b", "wa", "wb"), least), "near-verified")
+    drop_table(texts)
+    return links
 
 
 def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
@@ -302,8 +302,7 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", least
     their k-mers meet with a chance of about 1 - (1 - j^2)^20: all but 1 in 10^8 at j = 0.8.
     """
     keyed = docs.where(F.col(key).isNotNull())
-    with settings(docs.sparkSession, TEXT_BATCH):
-        table = through_table(sketches(keyed, text, key), "near-sketches")
+    table = through_table(sketches(keyed, text, key), "near-sketches")
     copies = table.groupBy("d1", "d2").agg(F.min("k").alias("rep"))
     member = through_table(table.select("k", "d1", "d2").join(copies, ["d1", "d2"]).select("k", "rep"), "near-members")
     reps = member.where("k = rep").select("k").distinct()
@@ -314,6 +313,8 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", least
     if not links.isEmpty() and not large.isEmpty():
         more = through_table(more_candidates(large, components(links), pairs), "near-pairs")
         links = links.unionByName(check_pairs(more, table, least))
+    for done in (table, large, pairs):
+        drop_table(done)
     degree = links.select(F.col("a").alias("rep")).unionAll(links.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     if links.isEmpty():
         named = member.select("k", F.col("rep").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -40,17 +42,50 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Deletes what through_table() wrote for df, once nothing reads it any more."""
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        drop_path(df.sparkSession, folder)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_arrow(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
-    """mapInArrow where make() builds the batch function once for each task."""
+#: Bounds of an Arrow batch to and from Python, so that a worker's memory doesn't depend on how long texts are.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can: workers live on between tasks."""
+    gc.collect()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    for k, v in BATCH.items():
+        if int(spark.conf.get(k, v)) > int(v):
+            spark.conf.set(k, v)
+
+
+def map_arrow(df: DataFrame, make: Callable[[], Callable], schema: str, end: Callable[[], None] | None = None) -> DataFrame:
+    """mapInArrow where make() builds the batch function once for each task, and end() runs after its last batch.
+
+    Batch sizes are read from the session when a plan runs, which may be after this returns: so they are set
+    in the session, unless it has smaller ones.
+    """
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
         f = make()
-        for batch in batches:
-            if batch.num_rows:
-                yield from f(batch)
+        try:
+            for batch in batches:
+                if batch.num_rows:
+                    yield from f(batch)
+        finally:
+            if end:
+                end()
+            give_back()
 
     return df.mapInArrow(run, schema)
