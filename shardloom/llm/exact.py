@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from shardloom.llm.shared import drop_path, shared_path, through_table
+from shardloom.llm.shared import drop_path, drop_table, shared_path, through_table
 
 #: White space that doesn't count, U+0020 and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -18,10 +18,18 @@ BROADCAST_ROWS = 500_000
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.minBatchesToRetain": "2",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "false",
+    # state of a query that has ended is closed on executors by their next maintenance
+    "spark.sql.streaming.stateStore.maintenanceInterval": "5s",
 }
+#: Bytes of the narrow table for each partition of state.
+STATE_BYTES = 16 << 20
+#: With more partitions of state than this, each is closed when its task ends, and opened again by the next batch: executors
+#: then hold what their running tasks need. With fewer, opening again costs more than it saves.
+STATE_OPEN = 32
 
 
 def normalised(text: Column) -> Column:
@@ -90,10 +98,15 @@ def exact_groups(
     # equal content: each row against the row that stays
     stay = several.where(F.col("k").eqNullSafe(F.col("keep_id"))).select("k", "digest").distinct()
     stay = texts.alias("t").join(stay.alias("s"), (F.col("t.k").eqNullSafe(F.col("s.k"))) & (F.col("t.digest") == F.col("s.digest"))).select("t.digest", "whole").distinct()
+    stay = through_table(stay, "exact-stay")
     odd = texts.select("digest", "whole").join(stay.withColumnRenamed("whole", "other"), "digest").where("whole <> other").select("digest").distinct()
     odd = through_table(odd, "exact-odd")
     out = marked.select("k", "keep_id", F.col("n").alias("group_size"), "digest")
-    if not odd.isEmpty():
+    for done in (keyed, stay):
+        drop_table(done)
+    if odd.isEmpty():
+        drop_table(texts)
+    else:
         members = texts.join(odd, "digest", "left_semi")
         one = members.groupBy("digest", "whole").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("size", (-F.col("k")).alias("minus"), "k"))["k"].alias("keep_id"))
         again = members.alias("m").join(one.alias("o"), (F.col("m.digest") == F.col("o.digest")) & (F.col("m.whole") == F.col("o.whole")))
@@ -101,6 +114,12 @@ def exact_groups(
     return out.select(F.col("k").alias(key), "keep_id", "group_size", F.col("k").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
 
 
+def folder_bytes(spark, path: str) -> int:
+    """Bytes of the files in a folder."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return int(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength())
+
+
 def _stream(keyed: DataFrame, files_per_batch: int) -> DataFrame:
     """(digest, n, best) of all rows, from state that is kept across micro-batches."""
     spark = keyed.sparkSession
@@ -110,7 +129,11 @@ def _stream(keyed: DataFrame, files_per_batch: int) -> DataFrame:
     schema = keyed.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), best.alias("best")).schema
     if not source:
         return spark.createDataFrame([], schema)
-    with settings(spark, STATE):
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    need = -(-folder_bytes(spark, source[0].rpartition("/")[0]) // STATE_BYTES)
+    with settings(spark, STATE | {"spark.sql.shuffle.partitions": str(min(parts, max(8, need)))}):
+        if int(spark.conf.get("spark.sql.shuffle.partitions")) > STATE_OPEN:
+            spark.conf.set("spark.sql.streaming.stateStore.unloadOnCommit", "true")
         stream = spark.readStream.schema(keyed.schema).option("maxFilesPerTrigger", files_per_batch).parquet(source[0].rpartition("/")[0])
         state = stream.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), best.alias("best"))
 
