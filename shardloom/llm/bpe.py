@@ -15,7 +15,6 @@ there are few, byte by byte. Results are kept for each pretoken in a map of boun
 
 from __future__ import annotations
 
-import functools
 import itertools
 import json
 import re
@@ -34,7 +33,7 @@ _ODD = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe]|[^\x00-ɏ]")
 _MEET = re.compile(r"\s\s")
 
 LONG = 64  # bytes; longer pretokens go byte by byte
-CACHE = 250_000  # pretokens, and runs between spaces, kept by a codec
+CACHE = 60_000  # pretokens, and runs between spaces, kept by a codec
 MEMO_BITS = 19  # of the map of pairs already tested
 NEVER = np.int32(2**31 - 1)
 
@@ -160,17 +159,24 @@ class BpeTables:
         for t, node in node_of.items():
             self.shorter[t] = out[link[node]]
         self.longest = np.array(out, np.int32)
-        # every transition, level by level: a state's own edges over those of its suffix link
+        # every transition, level by level: a state's own edges over those of its suffix link; a state
+        # without edges of its own shares the row of its link
         depth, links = np.array(depth_of), np.array(link)
         key, nxt = np.array(list(edges), np.int64), np.array(list(edges.values()), np.int32)
-        self.goto = np.zeros((len(link), 256), np.int32)
+        inner = np.zeros(len(link), bool)
+        inner[0] = True
+        inner[key >> 8] = True
+        row = np.cumsum(inner) - 1
+        goto = np.zeros((int(inner.sum()), 256), np.int32)
         for d in range(depth.max() + 1):
-            at = np.flatnonzero(depth == d)
+            at = np.flatnonzero((depth == d) & inner)
             if d:
-                self.goto[at] = self.goto[links[at]]
+                leaf = np.flatnonzero((depth == d) & ~inner)
+                row[leaf] = row[links[leaf]]
+                goto[row[at]] = goto[row[links[at]]]
             own = np.flatnonzero(depth[key >> 8] == d)
-            self.goto[key[own] >> 8, key[own] & 255] = nxt[own]
-        self.goto = self.goto.reshape(-1)
+            goto[row[key[own] >> 8], key[own] & 255] = nxt[own]
+        self.goto, self.row = goto.reshape(-1), (row * 256).astype(np.int32)
         self.memo_key = np.full(1 << MEMO_BITS, -1, np.int64)
         self.memo_fit = np.zeros(1 << MEMO_BITS, bool)
 
@@ -250,7 +256,7 @@ class BpeCodec:
         alive = np.searchsorted(-lens, -np.arange(1, top + 1), side="right")
         for j in range(1, top + 1):
             k = int(alive[j - 1])
-            state[:k] = t.goto[(state[:k].astype(np.int64) << 8) + flat[starts[:k] + (j - 1)]]
+            state[:k] = t.goto[t.row[state[:k]] + flat[starts[:k] + (j - 1)]]
             at, cand = np.arange(k), t.longest[state[:k]]
             while len(at):
                 back = j - t.length[cand]
@@ -270,7 +276,7 @@ class BpeCodec:
             memo.clear()
         s = 0
         for j, byte in enumerate(word, 1):
-            s = int(t.goto[s << 8 | byte])
+            s = int(t.goto[int(t.row[s]) + byte])
             cand = int(t.longest[s])
             while True:
                 back = j - int(t.length[cand])
@@ -397,7 +403,19 @@ def blocks(texts: list[str | None], chars: int = 1_000_000):
         yield block
 
 
-@functools.lru_cache(maxsize=2)
+_CODECS: dict[str, BpeCodec] = {}
+
+
 def codec(path: str) -> BpeCodec:
     """One codec for each vocabulary file in a process."""
-    return BpeCodec(path)
+    if path not in _CODECS:
+        _CODECS[path] = BpeCodec(path)
+    return _CODECS[path]
+
+
+def forget() -> None:
+    """Clears the codecs' maps of results, as at the end of a task; their tables stay, as building them takes more memory than they do."""
+    for c in _CODECS.values():
+        c._ids.clear()
+        c._runs.clear()
+        c._fit_memo.clear()

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardloom.llm.bpe import BpeCodec, blocks, codec
+from shardloom.llm.bpe import BpeCodec, blocks, codec, forget
 from shardloom.llm.shared import map_arrow
 
 
@@ -78,4 +78,4 @@ def count_tokens(docs: DataFrame, vocabulary: str, budgets: tuple[int, ...] = ()
 
     more = "".join(f", cut_{b} bigint" for b in budgets)
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    return map_arrow(rows, make, f"k {kind}, n_bytes bigint, n_tokens bigint{more}").withColumnRenamed("k", key)
+    return map_arrow(rows, make, f"k {kind}, n_bytes bigint, n_tokens bigint{more}", forget).withColumnRenamed("k", key)

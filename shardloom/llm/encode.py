@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardloom.llm.bpe import codec
+from shardloom.llm.bpe import codec, forget
 from shardloom.llm.shared import map_arrow
 
 SLICE = 256  # documents handled at a time within an Arrow batch
@@ -54,7 +54,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", key:
 
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     ids_type = "array<int>" if keep_text else "string"
-    return map_arrow(rows, make, f"k {kind}, n_tokens bigint, ids {ids_type}, decoded string").withColumnRenamed("k", key)
+    return map_arrow(rows, make, f"k {kind}, n_tokens bigint, ids {ids_type}, decoded string", forget).withColumnRenamed("k", key)
 
 
 def utf8(raw: bytes) -> bytes:
