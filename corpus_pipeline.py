@@ -52,7 +52,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class (operator 7)."""
-    return without(docs, near_classes(docs).where("not kept"), ["doc_id"])
+    return without(docs, near_classes(docs, count_links=False).where("not kept"), ["doc_id"])
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

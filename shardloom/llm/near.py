@@ -8,16 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardloom.llm.bytehash import byte_blocks, grams, mix, sequences, words
-from shardloom.llm.exact import settings
+from shardloom.llm.exact import folder_bytes, settings
 from shardloom.llm.shared import drop_table, map_arrow, through_table
 
 K = 5  # words in a k-mer
 PICK = 2  # k-mers in a sketch, in the order of the text
 SKETCHES = 20
 SIMILARITY = 0.8
-#: Buckets of up to so many texts give all pairs; in larger ones every text meets three others, and as many more as this if that left it apart.
-SMALL = 16
+#: Buckets of up to so many texts are paired in SQL, larger ones in blocks of so many texts.
+SMALL, BLOCK = 16, 512
+#: Where links needn't be counted, each text of a large bucket first meets this many hubs of that bucket alone.
 MORE_HUBS = 3
+#: Word lists of up to so many bytes are broadcast to the pairs; beyond, they are joined by shuffle.
+BROADCAST_BYTES = 16 << 20
 #: Up to so many text ids are broadcast; beyond, they are joined by shuffle.
 BROADCAST_ROWS = 500_000
 #: Rows of two word lists each in an Arrow batch.
@@ -228,18 +231,21 @@ def to_hubs(large: DataFrame, ranks: list, extra: list[str]) -> DataFrame:
     return out.select("x", "nx", *(f"{e}x" for e in extra), "h.*")
 
 
+def small_pairs(small: DataFrame) -> DataFrame:
+    """All pairs (x, nx, y, ny) of small buckets."""
+    m = small.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("k", "n"))).alias("m"))
+    return m.select(F.explode(F.expr("flatten(transform(m, (v, i) -> transform(slice(m, i + 2, size(m)), w -> struct(v.k as x, v.n as nx, w.k as y, w.n as ny))))")).alias("p")).select("p.*")
+
+
 def candidates(small: DataFrame, large: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of texts that meet in a bucket.
+    """Pairs (a, b), a < b, that unite most texts: all those of small buckets and some of large ones.
 
-    Small buckets give all their pairs. In larger ones each text is paired with a few others: the one that
-    meets the most others over all its buckets (the origin of a family of copies does), and the first by
-    two hash orders, which mostly is the same one in all buckets of a family. So pairs stay proportional
-    to texts.
+    In a large bucket each text is paired with a few others: the one that meets the most others over all its
+    buckets (the origin of a family of copies does), and the first by two hash orders, which mostly is the
+    same one in all buckets of a family. So pairs stay proportional to texts.
     """
-    m = small.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("k", "n"))).alias("m"))
-    within = m.select(F.explode(F.expr("flatten(transform(m, (v, i) -> transform(slice(m, i + 2, size(m)), w -> struct(v.k as x, v.n as nx, w.k as y, w.n as ny))))")).alias("p")).select("p.*")
     ranks = [F.struct("central", F.xxhash64("k"))] + [F.struct(F.xxhash64("k", F.lit(i))) for i in (1, 2)]
-    return ordered_pairs(within.unionByName(to_hubs(large, ranks, [])))
+    return ordered_pairs(small_pairs(small).unionByName(to_hubs(large, ranks, [])))
 
 
 def more_candidates(large: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFrame:
@@ -252,6 +258,44 @@ def more_candidates(large: DataFrame, labels: DataFrame, tried: DataFrame) -> Da
     return ordered_pairs(to_hubs(known, ranks, ["label"]).where("labelx <> labely")).join(tried, ["a", "b"], "left_anti")
 
 
+def block_pairs(large: DataFrame, keys: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """All pairs (a, b), a < b, of texts that meet in a large bucket and whose lengths allow a link; with `labels`, of different classes.
+
+    A bucket's texts are dealt into blocks of about BLOCK, and every two blocks are compared by one group, so
+    that a hot bucket is spread over tasks. A pair comes out of the first sketch only that its texts share.
+    """
+    kind = large.schema["k"].dataType.simpleString()
+    rows = large.select("key", "k", "n", F.ceil(F.col("c") / BLOCK).alias("of")).join(keys, "k")
+    if labels is None:
+        rows = rows.withColumn("label", F.lit(None).cast(kind))
+    else:
+        rows = rows.join(labels, "k", "left").withColumn("label", F.coalesce("label", "k"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("k"), "of")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("of") - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "k", "n", "label", "keys")
+
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        block, i, j = (group.column(c).to_numpy() for c in ("block", "i", "j"))
+        n, key = group.column("n").to_numpy(), group.column("key")[0].as_py()
+        sketch = group.column("keys").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(n), -1)
+        x, y = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        open_ = np.minimum(n[x][:, None], n[y]) >= np.maximum(n[x][:, None], n[y]) * SIMILARITY
+        if i[0] == j[0]:
+            open_ &= x[:, None] < y
+        if group.column("label").null_count == 0:
+            label = group.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+            open_ &= label[x][:, None] != label[y]
+        # sketches before the one of this bucket: all the bucket's texts have it at the same place
+        for r in range(int(np.flatnonzero(sketch[0] == key)[0])):
+            open_ &= sketch[x, r][:, None] != sketch[y, r]
+        u, v = np.nonzero(open_)
+        k = group.column("k").combine_chunks()
+        return pa.table({"x": k.take(pa.array(x[u])), "y": k.take(pa.array(y[v]))})
+
+    pairs = rows.groupBy("key", "i", "j").applyInArrow(compare, f"x {kind}, y {kind}")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(k, label): for each id in links (a, b) the smallest id connected to it.
 
@@ -274,26 +318,34 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def table_bytes(df: DataFrame) -> int:
+    """Bytes of a table of through_table()."""
+    return sum(folder_bytes(df.sparkSession, folder) for folder in {f.rpartition("/")[0] for f in df.inputFiles()})
+
+
 def check_pairs(pairs: DataFrame, table: DataFrame, least: float) -> DataFrame:
     """The links among pairs (a, b), with their words from the sketch table."""
     ids = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
     if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
     texts = through_table(table.select("k", "ws").join(ids, "k", "left_semi").dropDuplicates(["k"]), "near-texts")
-    both = pairs.join(texts.select(F.col("k").alias("a"), F.col("ws").alias("wa")), "a").join(texts.select(F.col("k").alias("b"), F.col("ws").alias("wb")), "b")
+    words_of = F.broadcast(texts) if table_bytes(texts) <= BROADCAST_BYTES else texts
+    both = pairs.join(words_of.select(F.col("k").alias("a"), F.col("ws").alias("wa")), "a").join(words_of.select(F.col("k").alias("b"), F.col("ws").alias("wb")), "b")
     with settings(pairs.sparkSession, PAIR_BATCH):
         links = through_table(verify(both.select("a", "b", "wa", "wb"), least), "near-verified")
     drop_table(texts)
     return links
 
 
-def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
+def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = SIMILARITY, count_links: bool = True) -> DataFrame:
     """One row per input row: (key, class_id, n_links, kept).
 
     Two texts are linked if the edit similarity of their word sequences (ASCII case folded) is at least
     `least`; classes are the connected components of links, named by their smallest key, whose document is
     kept. Texts with equal word sequences are copies: they share a class without being paired, and n_links
-    counts the links of their text to different texts. Texts without words (null and empty ones too) are
+    counts the links of their text to different texts that share a sketch with it; without `count_links` it
+    is null, and pairs within a class needn't be tried. Either way, all texts of different classes that share
+    a sketch have been compared. Texts without words (null and empty ones too) are
     copies of each other. A text of fewer than five words is only linked to copies. Rows with a null key
     come out as classes of their own with a null class_id. Repeated rows give repeated rows.
 
@@ -308,11 +360,19 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", least
     reps = member.where("k = rep").select("k").distinct()
     bands = table.select("k", "n", F.explode("keys").alias("key")).join(reps, "k", "left_semi").distinct()
     small, large = buckets(bands)
-    pairs = through_table(candidates(small, large), "near-pairs")
-    links = check_pairs(pairs, table, least)
-    if not links.isEmpty() and not large.isEmpty():
-        more = through_table(more_candidates(large, components(links), pairs), "near-pairs")
-        links = links.unionByName(check_pairs(more, table, least))
+    keys = table.select("k", "keys").join(large.select("k").distinct(), "k", "left_semi").dropDuplicates(["k"])
+    if count_links:
+        pairs = through_table(ordered_pairs(small_pairs(small)).unionByName(block_pairs(large, keys)).distinct(), "near-pairs")
+        links = check_pairs(pairs, table, least)
+    else:
+        pairs = through_table(candidates(small, large), "near-pairs")
+        links = check_pairs(pairs, table, least)
+        if not large.isEmpty():
+            # hubs of single buckets, then all that still lie in different classes
+            for rest in (lambda labels: more_candidates(large, labels, pairs), lambda labels: block_pairs(large, keys, labels).join(pairs, ["a", "b"], "left_anti").distinct()):
+                more = through_table(rest(components(links)), "near-pairs")
+                links = links.unionByName(check_pairs(more, table, least))
+                pairs = pairs.unionByName(more)
     for done in (table, large, pairs):
         drop_table(done)
     degree = links.select(F.col("a").alias("rep")).unionAll(links.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
@@ -322,6 +382,8 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", least
         labels = components(links).withColumnRenamed("k", "rep")
         known = labels.join(degree, "rep", "left")
         named = member.join(known, "rep", "left").select("k", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
+    if not count_links:
+        named = named.withColumn("n_links", F.lit(None).cast("bigint"))
     named = named.select(F.col("k").alias(key), "class_id", "n_links", (F.col("k") == F.col("class_id")).alias("kept"))
     alone = docs.where(F.col(key).isNull()).select(key, F.col(key).alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(True).alias("kept"))
     return named.unionByName(alone)

@@ -266,6 +266,31 @@ def test_near_classes_of_odd_rows(spark):
     assert near_classes(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("count_links", [True, False])
+def test_large_buckets_leave_no_pair_untried(spark, monkeypatch, count_links):
+    """Pairs of versions around a shared passage: the hubs of the large buckets are within 0.8 of few of them."""
+    monkeypatch.setattr(near, "BLOCK", 7)
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("klmnopqrst") for _ in range(5))
+    passage, texts = [word() for _ in range(60)], []
+    for _ in range(30):
+        own = [word() for _ in range(40)]
+        # every third own word differs, so the two share sketches of the passage only
+        texts += [" ".join(own + passage), " ".join([word() if i % 3 == 0 else w for i, w in enumerate(own)] + passage)]
+    rows = near_classes(docs(spark, texts), count_links=count_links).orderBy("doc_id").collect()
+    assert [r.class_id for r in rows] == [i // 2 * 2 for i in range(60)]
+    assert {r.n_links for r in rows} == {1 if count_links else None}
+
+
+def test_links_of_a_large_family_are_counted(spark):
+    rnd = random.Random(13)
+    word = lambda: "".join(rnd.choice("klmnopqrst") for _ in range(5))
+    base = [word() for _ in range(80)]
+    texts = [" ".join(base[:i] + [word()] + base[i + 1 :]) for i in range(30)]
+    rows = near_classes(docs(spark, texts)).collect()
+    assert all(r.class_id == 0 and r.n_links == 29 for r in rows)
+
+
 @pytest.mark.parametrize("edges", [[(i, i + 1) for i in range(60)], [(0, i) for i in range(1, 30)] + [(40, 41)]])
 def test_components(spark, edges):
     got = {r.k: r.label for r in near.components(spark.createDataFrame(edges, "a long, b long")).collect()}
