@@ -282,6 +282,25 @@ def test_large_buckets_leave_no_pair_untried(spark, monkeypatch, count_links):
     assert {r.n_links for r in rows} == {1 if count_links else None}
 
 
+def test_texts_at_the_least_similarity_meet(spark):
+    rnd = random.Random(14)
+    word = lambda: "".join(rnd.choice("klmnopqrst") for _ in range(6))
+    texts = []
+    for i in range(80):
+        # a long text with every fifth word changed, or a short one with one word changed, put in or left out
+        w = [word() for _ in range(150 if i < 40 else 5 + i % 5)]
+        v = list(w)
+        if i < 40:
+            v[2::5] = [word() for _ in v[2::5]]
+        else:
+            at = rnd.randrange(len(w))
+            v[at : at + 1] = [[word()], [w[at], word()], []][rnd.randrange(3 if 5 < len(w) < 9 else 1)]
+        texts += [" ".join(w), " ".join(v)]
+    rows = near_classes(docs(spark, texts)).orderBy("doc_id").collect()
+    met = [rows[i].class_id == rows[i + 1].class_id for i in range(0, len(rows), 2)]
+    assert sum(met[:40]) >= 38 and all(met[40:])
+
+
 def test_links_of_a_large_family_are_counted(spark):
     rnd = random.Random(13)
     word = lambda: "".join(rnd.choice("klmnopqrst") for _ in range(5))
