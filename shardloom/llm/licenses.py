@@ -12,7 +12,7 @@ import random
 import re
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardloom.llm.ftrl import Ftrl, activate
@@ -67,6 +67,7 @@ TEMPLATES = {
 }
 #: Licence-like sentences of no family above, and sentences that only share words with licences.
 UNFAMILIAR = [
+    "All rights reserved.",
     "All rights reserved. No part of this publication may be reproduced without written permission.",
     "This software is licensed to the customer under a commercial agreement.",
     "Use of this material is subject to the terms of the licence agreement between the parties.",
@@ -86,8 +87,6 @@ PLAIN = [
     "Free software and public money was the subject of the talk.",
     "The Apache helicopter landed near MIT in Cambridge.",
 ]
-#: A paragraph is looked at only if it has one of these parts of words, in lower case.
-CUES = ("licen", "copyright", "permission is", "permission to", "redistribut", "public domain", "unencumbered", "waived all", "released under")
 N = 3  # n-grams of one to N words
 CERTAIN = 0.6  # least probability of a family
 COVERED = 0.6  # least share of a template's bigrams that confirms it
@@ -158,40 +157,47 @@ def _grams(words: Column, low: int, high: int) -> Column:
     return F.array_distinct(F.concat(*(of(n) for n in range(low, high + 1))))
 
 
-def has_cue(text: Column) -> Column:
-    low = F.lower(text)
-    return functools.reduce(lambda a, b: a | b, [low.contains(c) for c in CUES])
-
-
 def licence_findings(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per paragraph that is a licence notice: (key, paragraph, family, score, template, coverage, confirmed).
 
-    A paragraph is a line; `paragraph` is its number from 0. Paragraphs without a cue are no notices.
+    A paragraph is a line, or several lines between blank ones: these are scored as a whole too, which gives a
+    row only if it confirms a family that none of the lines alone does (a notice of wrapped lines).
+    `paragraph` is the number of the (first) line from 0. Every paragraph is scored.
     `score` is the calibrated chance of `family`. A family stands if its chance is at least CERTAIN and
     one of its templates has at least COVERED of its bigrams in the paragraph; `template` is the number
     of the best one. A likely notice for which either fails is of family `unknown`. Null and empty texts
     give no rows; of rows with equal key and text each gives its own.
     """
     spark, model = docs.sparkSession, fit_licences()
-    lines = docs.where(has_cue(F.col(text))).select(F.col(key).alias("k"), F.posexplode(F.split(text, "\n")).alias("paragraph", "line")).where(has_cue(F.col("line")))
+    row = ("k", "block", "paragraph", "whole", "line", "times")
+    pieces = docs.select(F.col(key).alias("k"), F.split(text, r"\n[ \t\r]*(?=\n)").alias("ps")).withColumn("sizes", F.expr(r"transform(ps, x -> size(split(x, '\n')))"))
+    starts = F.expr("aggregate(sizes, array(0), (acc, x) -> concat(acc, array(element_at(acc, -1) + x)))")
+    pieces = pieces.withColumn("starts", starts).select("k", F.explode(F.expr("transform(ps, (x, i) -> struct(starts[i] as block, x as piece))")).alias("p")).select("k", "p.*")
+    alone = r"transform(split(piece, '\n'), (x, i) -> struct(block + i as paragraph, false as whole, x as line))"
+    whole = r"if(trim(piece) like '%\n%', array(struct(block + size(split(regexp_extract(piece, '^\\s*', 0), '\n')) - 1 as paragraph, true as whole, piece as line)), array())"
+    lines = pieces.select("k", "block", F.explode(F.expr(f"concat({alone}, {whole})")).alias("r")).select("k", "block", "r.*").where(F.trim("line") != "")
     # equal lines of one key are scored once and counted; the number of a line is taken up again at the end
-    lines = lines.groupBy("k", "paragraph", "line").agg(F.count(F.lit(1)).alias("times"))
+    lines = lines.groupBy("k", "block", "paragraph", "whole", "line").agg(F.count(F.lit(1)).alias("times"))
     words = lines.withColumn("ws", F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0)))
     classes = range(len(model.names))
     weights = spark.createDataFrame([(g, [float(x) for x in w]) for g, w in sorted(model.weights.items())], "gram string, w array<double>")
-    hits = words.select("k", "paragraph", "line", "times", F.explode_outer(_grams(F.col("ws"), 1, N)).alias("gram")).join(F.broadcast(weights), "gram", "left")
-    logits = hits.groupBy("k", "paragraph", "line", "times").agg(*(((F.coalesce(F.sum(F.col("w")[c]), F.lit(0.0)) + float(model.bias[c])) / model.temperature).alias(f"z{c}") for c in classes))
+    # a paragraph without any n-gram of the model is of the class with the greatest bias: left out here where that is `none`
+    how = "inner" if model.names[int(np.argmax(model.bias))] == NONE else "left"
+    hits = words.select(*row, F.explode_outer(_grams(F.col("ws"), 1, N)).alias("gram")).join(F.broadcast(weights), "gram", how)
+    logits = hits.groupBy(*row).agg(*(((F.coalesce(F.sum(F.col("w")[c]), F.lit(0.0)) + float(model.bias[c])) / model.temperature).alias(f"z{c}") for c in classes))
     top = F.greatest(*(F.col(f"z{c}") for c in classes))
     total = functools.reduce(lambda a, b: a + b, [F.exp(F.col(f"z{c}") - top) for c in classes])
     best = functools.reduce(lambda acc, c: acc.when(F.col(f"z{c}") == top, F.lit(model.names[c])), classes, F)
-    guess = logits.select("k", "paragraph", "line", "times", best.alias("guess"), F.round(1 / total, 6).alias("score")).where(F.col("guess") != NONE)
+    guess = logits.select(*row, best.alias("guess"), F.round(1 / total, 6).alias("score")).where(F.col("guess") != NONE)
     grams = [(f, i, g, len(ts)) for f, all_t in TEMPLATES.items() for i, t in enumerate(all_t) for ts in [sorted(_bigrams(word_list(t)))] for g in ts]
     templates = spark.createDataFrame(grams, "family string, template int, gram string, size int")
-    said = guess.select("k", "paragraph", "line", "times", "guess", "score", F.explode_outer(_grams(F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0)), 2, 2)).alias("gram"))
+    said = guess.select(*row, "guess", "score", F.explode_outer(_grams(F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0)), 2, 2)).alias("gram"))
     joined = said.join(F.broadcast(templates), (said.gram == templates.gram) & (said.guess == templates.family), "left")
-    shares = joined.groupBy("k", "paragraph", "line", "times", "guess", "score", "template").agg((F.count("family") / F.max("size")).alias("share"))
-    covered = shares.groupBy("k", "paragraph", "line", "times", "guess", "score").agg(F.max(F.struct(F.coalesce("share", F.lit(0.0)).alias("share"), (-F.col("template")).alias("minus"))).alias("t"))
+    shares = joined.groupBy(*row, "guess", "score", "template").agg((F.count("family") / F.max("size")).alias("share"))
+    covered = shares.groupBy(*row, "guess", "score").agg(F.max(F.struct(F.coalesce("share", F.lit(0.0)).alias("share"), (-F.col("template")).alias("minus"))).alias("t"))
     stands = (F.col("guess") != UNKNOWN) & (F.col("score") >= CERTAIN) & (F.col("t.share") >= COVERED)
+    named = F.collect_set(F.when(~F.col("whole") & stands, F.col("guess"))).over(Window.partitionBy("k", "block"))
+    covered = covered.withColumn("named", named).where(~F.col("whole") | (stands & ~F.array_contains("named", F.col("guess"))))
     out = covered.select(
         F.col("k").alias(key),
         "paragraph",

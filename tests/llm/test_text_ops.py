@@ -429,6 +429,14 @@ def test_licence_variants_and_repeated_rows(spark):
     assert licenses.licence_findings(docs(spark, [])).count() == 0
 
 
+def test_licences_without_cue_words_and_over_several_lines(spark):
+    wrapped = "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation\nfiles, to deal in the Software without restriction, including\nwithout limitation the rights to use, copy, modify, merge, publish,\ndistribute, sublicense, and/or sell copies of the Software"
+    texts = ["Some prose.\nAll rights reserved.\nMore prose.", "This document is provided without warranty of any kind.", f"Some prose.\n \n\n{wrapped}\n\nMore prose."]
+    got = licenses.licence_findings(docs(spark, texts)).collect()
+    assert {(r.doc_id, r.paragraph, r.family) for r in got if r.doc_id < 2} == {(0, 1, "unknown"), (1, 0, "unknown")}
+    assert [(r.paragraph, r.family, r.template) for r in got if r.doc_id == 2 and r.confirmed] == [(3, "mit", 2)]
+
+
 def test_licence_scores_equal_the_model(spark):
     m = licenses.fit_licences()
     line = "This work is licensed under the GNU General Public License, version 3."
