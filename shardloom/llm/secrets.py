@@ -15,16 +15,20 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: What can be a secret: a private key's first line, a quoted value behind = or :, or a long run with a digit.
+#: Words near a secret.
+NEAR_SECRET = "token|secret|passw(?:or)?d|pwd|api[_ -]?key|apikey|access[_ -]?key|private|credential|auth|bearer|client_secret"
+#: What can be a secret: a private key's first line, any value behind = or : whose name has a word of NEAR_SECRET, a quoted value
+#: behind another name's = or :, a key with a well-known beginning, or a long run with a digit.
 CANDIDATE = (
     r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
-    r"|(?<=[:=] ?[\"'])[^\s\"']{8,128}(?=[\"'])"
+    rf"|(?<=[:=>] ?[\"']?)(?<=(?i:{NEAR_SECRET})[\w-]{{0,20}}[\"']? ?[:=]{{1,2}}>? ?[\"']?)(?![:=>])[^\s\"']+"
+    r"|(?<=[:=] ?[\"'])[^\s\"']{8,}(?=[\"'])"
+    r"|(?<![A-Za-z0-9_+/-])(?:gh[pousr]_|sk[-_](?:live|test)[-_]|xox[abprs]-|AIza|eyJ)[A-Za-z0-9_+/-]{12,}={0,2}"
     r"|(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{0,64}[0-9])[A-Za-z0-9_+/-]{16,}={0,2}"
 )
 BEFORE, AFTER = 48, 24
-#: Words whose letters count as covered by a dictionary; words near a secret, and near other things that look like one.
+#: Words whose letters count as covered by a dictionary; words near other things that look like a secret.
 DICTIONARY = "the and ing tion example sample test dummy your place holder insert change here user admin name file data image index page home version config public static assets build release value number order item account customer string secret password token key client server service update report image content article default hello world foo bar baz qwerty letmein abc".split()
-NEAR_SECRET = "token|secret|passw(?:or)?d|pwd|api[_ -]?key|apikey|access[_ -]?key|private|credential|auth|bearer|client_secret"
 NEAR_OTHER = "commit|sha-?\\d*|md5|checksum|digest|hash|etag|revision|integrity|uuid|guid|card|phone|order|invoice|isbn|tracking|serial|version|build"
 PLACEHOLDER = "x{4,}|example|sample|dummy|changeme|placeholder|your[_-]|<|\\$\\{|\\*{3,}|0{8,}|1234567"
 TREES, DEPTH, LEAST = 25, 6, 0.5

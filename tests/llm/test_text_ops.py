@@ -462,6 +462,14 @@ def test_secrets_on_held_out_findings(spark):
     assert right / (right + wrong) > 0.95 and missed / sum(y for *_, y in rows) < 0.1
 
 
+def test_every_labelled_secret_is_a_candidate(spark):
+    rows = [(b, v, a) for b, v, a, y in secrets.labelled_findings(seed=98, each=12) if y]
+    named = [("DB_PASSWORD=", "aB3!xY7@kQ9#mZ"), ("password: ", "tr0ub4dor&3"), ("secret=", "Zx9kQ2mW7r"), ("password=", "CorrectHorseBatteryStaple"), ('{"api_key": "', "a.b-" * 38)]
+    rows += [(b, v, '"' if b.endswith('"') else "") for b, v in named]
+    got = {(r.doc_id, r.value_sha256) for r in secrets.secret_findings(docs(spark, [b + v + a for b, v, a in rows])).collect()}
+    assert [r for i, r in enumerate(rows) if (i, hashlib.sha256(r[1].encode()).hexdigest()) not in got] == []
+
+
 def test_secret_positions_and_odd_texts(spark):
     token = hashlib.sha1(b"x").hexdigest()
     texts = [f'é😀 token = "{token}" x', None, "", "a" * 5000, " ".join(hashlib.sha1(str(i).encode()).hexdigest() for i in range(150)), f"commit {token} fixed"]
