@@ -899,7 +899,7 @@ def stream_dedup(spark, d):
 
     s = T.event_stream(spark, f"{d}/events.parquet", load(spark, d, "events").schema).withColumn("ts", F.col("ts").cast("timestamp"))
     s = s.withColumn("request_id", F.concat(F.lit("r"), F.col("event_id") % 4000))
-    out = T.run_to_end(T.dedup_requests(s, days=40).select("request_id"), spark, work_path(spark, "dedup"), work_path(spark, "dedup-cp"))
+    out = T.run_to_end(T.dedup_requests(s, days=None).select("request_id"), spark, work_path(spark, "dedup"), work_path(spark, "dedup-cp"))
     return out.groupBy("request_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -908,7 +908,7 @@ def stream_daily_counts(spark, d):
     from shardloom.sources.tables import work_path
 
     s = T.event_stream(spark, f"{d}/events.parquet", load(spark, d, "events").schema).withColumn("ts", F.col("ts").cast("timestamp"))
-    counted = T.daily_counts(s, by="event_type").select(F.date_format("window.start", "yyyy-MM-dd").alias("utc_day"), "event_type", "n")
+    counted = T.daily_counts(s, delay=None, by="event_type").select(F.date_format("window.start", "yyyy-MM-dd").alias("utc_day"), "event_type", "n")
     out = work_path(spark, "daily")
 
     def write(batch, number):

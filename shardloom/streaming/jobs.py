@@ -21,15 +21,17 @@ def event_stream(spark: SparkSession, path: str, schema, files: int = 1) -> Data
     return stream.parquet(path)
 
 
-def dedup_requests(stream: DataFrame, key: str = "request_id", ts: str = "ts", days: int = TTL_DAYS) -> DataFrame:
-    """The first row of each request id; ids are forgotten after `days`, so state is bounded by their rate."""
+def dedup_requests(stream: DataFrame, key: str = "request_id", ts: str = "ts", days: int | None = TTL_DAYS) -> DataFrame:
+    """The first row of each request id; ids are forgotten after `days`, so state is bounded by their rate. Without days none is forgotten."""
+    if days is None:
+        return stream.dropDuplicates([key])
     return stream.withWatermark(ts, f"{days} days").dropDuplicatesWithinWatermark([key])
 
 
-def daily_counts(stream: DataFrame, ts: str = "ts", delay: str = "1 hour", by: str | None = None) -> DataFrame:
-    """Rows of each UTC day, final once the watermark has passed it: the seal of a day."""
+def daily_counts(stream: DataFrame, ts: str = "ts", delay: str | None = "1 hour", by: str | None = None) -> DataFrame:
+    """Rows of each UTC day, final once the watermark has passed it: the seal of a day. Without delay no row is late and no day final."""
     keys = [F.window(ts, "1 day")] + ([F.col(by)] if by else [])
-    return stream.withWatermark(ts, delay).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return (stream.withWatermark(ts, delay) if delay else stream).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
 def run_to_end(stream: DataFrame, spark: SparkSession, out: str, checkpoint: str, mode: str = "append") -> DataFrame:

@@ -15,6 +15,7 @@ from shardloom.operators import workload as K
 from shardloom.plans import catalog as C
 from shardloom.plans import sqlguard as G
 from shardloom.plans.catalog import BUCKET, KEY, SHARD, TENANT, Catalog, TableDef, lay_out
+from shardloom.queries import QUERIES
 from shardloom.sources.tables import load, routed
 from shardloom.streaming import jobs as T
 
@@ -289,3 +290,15 @@ def test_tpcc_tables_have_unique_keys(spark):
     for name, df in K.tpcc_tables(spark).items():
         key = df.columns[0]
         assert df.count() == df.select(key).distinct().count() > 0, name
+
+
+def test_streams_count_whole_tables_in_any_order(spark, sf, tmp_path):
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    more = e.withColumn("ts", F.col("ts") + F.expr("interval 90 days")).unionByName(e)
+    # the latest events come first, one file for each of four spans of time
+    later = more.orderBy(F.desc("ts")).repartitionByRange(4, F.desc("ts"))
+    later.write.parquet(str(tmp_path / "events.parquet"))
+    rows = {(r.utc_day, r.event_type): r.n for r in QUERIES["stream_daily_counts"](spark, str(tmp_path)).collect()}
+    want = {(r.d, r.event_type): r["count"] for r in more.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("d"), "event_type").count().collect()}
+    assert rows == want
+    assert {r.n for r in QUERIES["stream_dedup"](spark, str(tmp_path)).collect()} == {1}
