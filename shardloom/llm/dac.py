@@ -122,12 +122,32 @@ class Block:
         return self.slice(int(self.ends[i - 1]) if i else 0, int(self.ends[i]))
 
 
+#: Bytes from which a run of white space, or of anything else, goes to the codec: the merge loop's pattern needs stack for
+#: every blank of a run, and its time grows with the square of a pretoken.
+LONG_RUN = 4_000
+_ASCII_BLANK = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"))
+#: The bytes of U+0085 and U+00A0 may be white space or part of a letter: they count as both.
+_MAY_BE_BLANK = _ASCII_BLANK | np.isin(np.arange(256), [0xC2, 0x85, 0xA0])
+
+
+def has_long_run(text: str, least: int = LONG_RUN) -> bool:
+    """Whether a run of white space, or of other characters, may have `least` bytes or more."""
+    if len(text) * 2 < least:
+        return False
+    raw = np.frombuffer(text.encode(), np.uint8)
+    for breaks in (~_MAY_BE_BLANK[raw], _ASCII_BLANK[raw]):
+        if int(np.diff(np.flatnonzero(breaks), prepend=-1, append=len(raw)).max()) > least:
+            return True
+    return False
+
+
 @functools.lru_cache(maxsize=2)
 def fast_encoder(path: str):
     """A function from texts to arrays of ids, the same as those of the tokenizer file.
 
     Texts of Latin letters go through tiktoken's merge loop on this file's own vocabulary, four times as
-    fast as the other libraries; texts with characters on whose class Unicode versions may differ, through the codec.
+    fast as the other libraries; texts with characters on whose class Unicode versions may differ, and texts with
+    very long runs, go through the codec.
     """
     import tiktoken
 
@@ -138,7 +158,7 @@ def fast_encoder(path: str):
 
     def encode(texts: list[str | None]) -> list[np.ndarray]:
         return [
-            np.zeros(0, np.uint32) if not x else np.frombuffer(c.encode_raw([x])[0], "<u4") if _ODD.search(x) else enc.encode_to_numpy(x, allowed_special="all", disallowed_special=())
+            np.zeros(0, np.uint32) if not x else np.frombuffer(c.encode_raw([x])[0], "<u4") if _ODD.search(x) or has_long_run(x) else enc.encode_to_numpy(x, allowed_special="all", disallowed_special=())
             for x in texts
         ]
 

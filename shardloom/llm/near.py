@@ -387,7 +387,8 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", least
     """
     keyed = docs.where(F.col(key).isNotNull())
     table = through_table(sketches(keyed, text, key), "near-sketches")
-    copies = table.groupBy("d1", "d2").agg(F.min("k").alias("rep"))
+    # a table of its own, so that the join below is of plain rows and a hot text can be split over tasks
+    copies = through_table(table.groupBy("d1", "d2").agg(F.min("k").alias("rep")), "near-copies")
     member = through_table(table.select("k", "d1", "d2").join(copies, ["d1", "d2"]).select("k", "rep"), "near-members")
     reps = member.where("k = rep").select("k").distinct()
     bands = table.select("k", "n", F.explode(F.concat("keys", "ways")).alias("key")).join(reps, "k", "left_semi").distinct()
@@ -405,7 +406,7 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", least
                 more = through_table(rest(components(links)), "near-pairs")
                 links = links.unionByName(check_pairs(more, table, least))
                 pairs = pairs.unionByName(more)
-    for done in (table, large, pairs):
+    for done in (table, copies, large, pairs):
         drop_table(done)
     degree = links.select(F.col("a").alias("rep")).unionAll(links.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     if links.isEmpty():

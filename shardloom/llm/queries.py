@@ -60,7 +60,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_classes(table(spark, sf_dir, "documents"))
+    return near_classes(table(spark, sf_dir, "documents"), count_links=False).drop("n_links")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -147,6 +147,13 @@ def test_files_hold_the_library_ids_in_order(spark, sf, library, tmp_path):
         at += len(ids)
 
 
+@pytest.mark.parametrize("odd", [" ", "\n", " \n\t ", "\u00a0 ", "ab", "é", "7", "!?"])
+def test_files_of_long_runs_hold_the_library_ids(library, odd):
+    text = "x" + (odd * 1_100_000)[: 1_100_000 if odd.isspace() else 60_000] + "y"
+    assert dac.has_long_run(text)
+    assert dac.fast_encoder(vocabulary())([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_files_of_an_empty_table_and_null_keys(spark, tmp_path):
     empty = docs(spark, [])
     dac.write_codes(empty, str(tmp_path / "e"), vocabulary())
