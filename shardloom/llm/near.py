@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shardloom.llm.bytehash import byte_blocks, grams, mix, sequences, words
 from shardloom.llm.exact import folder_bytes, settings
-from shardloom.llm.shared import drop_table, map_arrow, through_table
+from shardloom.llm.shared import drop_table, map_arrow, scratch, through_table
 
 K = 2  # words in a k-mer
 PICK = 2  # k-mers in a sketch, in the order of the text
@@ -28,6 +28,8 @@ BROADCAST_ROWS = 500_000
 #: Rows of two word lists each in an Arrow batch.
 PAIR_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500"}
 NONE = np.uint64(2**64 - 1)
+#: Counters of a text's profile: as many as it has words, as a power of two between these.
+FEWEST, MOST = 128, 2048
 
 
 def sketch_block(raw: np.ndarray, off: np.ndarray, sketches: int = SKETCHES):
@@ -94,8 +96,36 @@ def without_a_word(hashes: np.ndarray, w_off: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def profiles(hashes: np.ndarray, w_off: np.ndarray) -> list[bytes]:
+    """For each text how often it has each pair of adjacent words, by hash, in counters of one byte that stop at 255."""
+    h, g_off = grams(hashes, w_off, 2)
+    size = np.diff(w_off)
+    width = np.clip(1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64), FEWEST, MOST)
+    begin = np.concatenate((np.zeros(1, np.int64), np.cumsum(width)))
+    text = np.repeat(np.arange(len(size)), np.diff(g_off))
+    place = begin[text] + (mix(h + np.uint64(5)) & (width[text] - 1).astype(np.uint64)).astype(np.int64)
+    flat = np.minimum(np.bincount(place, minlength=int(begin[-1])), 255).astype(np.uint8).tobytes()
+    return [flat[a:b] for a, b in zip(begin.tolist(), begin[1:].tolist(), strict=False)]
+
+
+def folded(rows: list[bytes]) -> np.ndarray:
+    """Profiles as rows of one matrix, all as narrow as the narrowest: counters of equal low bits are added."""
+    least = min(map(len, rows))
+    return np.stack([np.frombuffer(r, np.uint8).reshape(-1, least).sum(0, dtype=np.int32) for r in rows])
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For rows of two matrices of profiles a lower bound of the edit distance of their texts.
+
+    An edit takes away at most two of a text's pairs of words, so half of those that the other text lacks
+    is a bound; a counter that stopped at 255 only makes it smaller.
+    """
+    d = a - b
+    return np.maximum(np.maximum(d, 0).sum(1), np.maximum(-d, 0).sum(1)) / 2
+
+
 def sketches(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(k, d1, d2: digest of the word sequence, n: words, keys: sketches, ways: of short texts, ws: words as int32 bytes)."""
+    """(k, d1, d2: digest of the word sequence, n: words, keys: sketches, ways: of short texts, profile, ws: words as int32 bytes)."""
     kind = docs.schema[key].dataType.simpleString()
 
     def make():
@@ -119,15 +149,16 @@ def sketches(docs: DataFrame, text: str, key: str) -> DataFrame:
                         pa.array(n_words.astype(np.int64)),
                         lists,
                         pa.array(ways, pa.list_(pa.int64())),
+                        pa.array(profiles(hashes, w_off), pa.binary()),
                         pa.array([small[x:y] for x, y in zip(bounds, bounds[1:], strict=False)], pa.binary()),
                     ],
-                    ["k", "d1", "d2", "n", "keys", "ways", "ws"],
+                    ["k", "d1", "d2", "n", "keys", "ways", "profile", "ws"],
                 )
 
         return f
 
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    return map_arrow(rows, make, f"k {kind}, d1 bigint, d2 bigint, n bigint, keys array<bigint>, ways array<bigint>, ws binary")
+    return map_arrow(rows, make, f"k {kind}, d1 bigint, d2 bigint, n bigint, keys array<bigint>, ways array<bigint>, profile binary, ws binary")
 
 
 # -- alignment -------------------------------------------------------------------------------------
@@ -245,9 +276,9 @@ def buckets(bands: DataFrame) -> tuple[DataFrame, DataFrame]:
     return met.where(F.col("c") <= SMALL), through_table(met.where(F.col("c") > SMALL).join(central, "k"), "near-large")
 
 
-def ordered_pairs(pairs: DataFrame) -> DataFrame:
+def ordered_pairs(pairs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Distinct (a, b), a < b, of rows (x, nx, y, ny) whose lengths allow a link."""
-    near = F.least("nx", "ny") >= F.greatest("nx", "ny") * SIMILARITY
+    near = F.least("nx", "ny") >= F.greatest("nx", "ny") * least
     return pairs.where(near & (F.col("x") != F.col("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -265,7 +296,7 @@ def small_pairs(small: DataFrame) -> DataFrame:
     return m.select(F.explode(F.expr("flatten(transform(m, (v, i) -> transform(slice(m, i + 2, size(m)), w -> struct(v.k as x, v.n as nx, w.k as y, w.n as ny))))")).alias("p")).select("p.*")
 
 
-def candidates(small: DataFrame, large: DataFrame) -> DataFrame:
+def candidates(small: DataFrame, large: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Pairs (a, b), a < b, that unite most texts: all those of small buckets and some of large ones.
 
     In a large bucket each text is paired with a few others: the one that meets the most others over all its
@@ -273,42 +304,84 @@ def candidates(small: DataFrame, large: DataFrame) -> DataFrame:
     same one in all buckets of a family. So pairs stay proportional to texts.
     """
     ranks = [F.struct("central", F.xxhash64("k"))] + [F.struct(F.xxhash64("k", F.lit(i))) for i in (1, 2)]
-    return ordered_pairs(small_pairs(small).unionByName(to_hubs(large, ranks, [])))
+    return ordered_pairs(small_pairs(small).unionByName(to_hubs(large, ranks, [])), least)
 
 
-def more_candidates(large: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFrame:
+def more_candidates(large: DataFrame, labels: DataFrame, tried: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Pairs for texts of large buckets that aren't yet in the class of others they meet there.
 
     Hubs now differ from bucket to bucket; pairs within a class, or tried before, are left out.
     """
-    known = large.join(labels, "k", "left").withColumn("label", F.coalesce("label", "k"))
+    known = through_table(large.join(labels, "k", "left").withColumn("label", F.coalesce("label", "k")), "near-known")
     ranks = [F.struct(F.xxhash64("key", "k", F.lit(i))) for i in range(MORE_HUBS)]
-    return ordered_pairs(to_hubs(known, ranks, ["label"]).where("labelx <> labely")).join(tried, ["a", "b"], "left_anti")
+    return ordered_pairs(to_hubs(known, ranks, ["label"]).where("labelx <> labely"), least).join(tried, ["a", "b"], "left_anti")
 
 
-def block_pairs(large: DataFrame, keys: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """All pairs (a, b), a < b, of texts that meet in a large bucket and whose lengths allow a link; with `labels`, of different classes.
+#: Roles of a large bucket's rows in one length class, as places in their list: rows of the class or of the next shorter
+#: one, of the bucket's commonest label or of another; and which roles are compared with which.
+HOME_MAIN, HOME, LOWER_MAIN, LOWER = range(4)
+COMPARED = [(HOME_MAIN, HOME), (HOME_MAIN, LOWER), (HOME, HOME), (HOME, LOWER_MAIN), (HOME, LOWER)]
+FIRST, SECOND, BOTH = 0, 1, 2
 
-    A bucket's texts are dealt into blocks of about BLOCK, and every two blocks are compared by one group, so
-    that a hot bucket is spread over tasks. A pair comes out of the first sketch only that its texts share.
+
+def block_pairs(large: DataFrame, keys: DataFrame, labels: DataFrame | None = None, least: float = SIMILARITY) -> DataFrame:
+    """All pairs (a, b), a < b, of texts that meet in a large bucket and may be linked; with `labels`, of different classes.
+
+    A bucket is split by length class, and a class, with the next shorter one, into blocks of about BLOCK
+    texts; every two blocks are compared by one group, so that a hot bucket is spread over tasks. Blocks of
+    the bucket's commonest label aren't compared with each other. Lengths and profiles leave out only pairs that
+    can't be linked. A pair comes out of the first sketch only that its texts share.
     """
     kind = large.schema["k"].dataType.simpleString()
-    rows = large.select("key", "k", "n", F.ceil(F.col("c") / BLOCK).alias("of")).join(keys, "k")
+    rows = large.select("key", "k", "n").join(keys, "k")
+    main = F.lit(False)
     if labels is None:
         rows = rows.withColumn("label", F.lit(None).cast(kind))
     else:
-        rows = rows.join(labels, "k", "left").withColumn("label", F.coalesce("label", "k"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("k"), "of")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("of") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "k", "n", "label", "keys")
+        rows = through_table(rows.join(labels, "k", "left").withColumn("label", F.coalesce("label", "k")), "near-blocked")
+        sizes = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("key")
+        of = through_table(sizes.agg(F.max_by("label", "c").alias("commonest"), F.count(F.lit(1)).alias("labels")).where("labels > 1"), "near-commonest")
+        rows, main = rows.join(of, "key"), F.col("label") == F.col("commonest")
+    length = F.floor(F.log("n") / float(-np.log(least)) + 1e-9)
+    homes = F.array(*(F.struct((length + up).alias("g"), (F.when(main, F.lit(0)).otherwise(1) + 2 * up).alias("role")) for up in (0, 1)))
+    rows = rows.select("key", "k", "n", "label", "keys", "profile", F.explode(homes).alias("h")).select("key", "k", "n", "label", "keys", "profile", "h.g", "h.role")
+    counts = rows.groupBy("key", "g").agg(F.array(*(F.ceil(F.count_if(F.col("role") == r) / BLOCK) for r in range(4))).alias("blocks"))
+    rows = rows.join(through_table(counts.where(F.col("blocks")[HOME_MAIN] + F.col("blocks")[HOME] > 0), "near-counts"), ["key", "g"])
+    mine = F.pmod(F.xxhash64("k"), F.element_at("blocks", F.col("role") + 1))
+    rows = rows.withColumn("mine", mine)
+
+    def partners(a: int, b: int, at: int):
+        """The groups in which a row of role `a` (at FIRST) or `b` (at SECOND) meets the other role's blocks."""
+        n, mine = F.col("blocks")[b if at == FIRST else a], F.col("mine")
+        each = F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n - 1)).otherwise(F.array().cast("array<bigint>"))
+
+        def group(j):
+            x, y = (F.least(mine, j), F.greatest(mine, j)) if a == b else (mine, j) if at == FIRST else (j, mine)
+            side = F.when(j == mine, BOTH).when(j > mine, FIRST).otherwise(SECOND) if a == b else F.lit(at)
+            return F.struct(F.concat_ws("-", F.lit(f"{a}{b}"), x, y).alias("p"), side.alias("at"))
+
+        return F.transform(each, group)
+
+    def meets(role: int):
+        found = [partners(a, b, FIRST) for a, b in COMPARED if a == role] + [partners(a, b, SECOND) for a, b in COMPARED if b == role and a != b]
+        return F.concat(*found)
+
+    to = F.when(F.col("role") == HOME, meets(HOME))
+    for r in (HOME_MAIN, LOWER_MAIN, LOWER):
+        to = to.when(F.col("role") == r, meets(r))
+    rows = rows.select("key", "g", F.explode(to).alias("t"), "k", "n", "label", "keys", "profile").select("key", "g", "t.p", "t.at", "k", "n", "label", "keys", "profile")
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        block, i, j = (group.column(c).to_numpy() for c in ("block", "i", "j"))
-        n, key = group.column("n").to_numpy(), group.column("key")[0].as_py()
+        at, n = (group.column(c).to_numpy() for c in ("at", "n"))
+        x, y = np.flatnonzero(at != SECOND), np.flatnonzero(at != FIRST)
+        k = group.column("k").combine_chunks()
+        if not len(x) or not len(y):
+            return pa.table({"x": k.slice(0, 0), "y": k.slice(0, 0)})
+        key = group.column("key")[0].as_py()
         sketch = group.column("keys").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(n), -1)
-        x, y = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        open_ = np.minimum(n[x][:, None], n[y]) >= np.maximum(n[x][:, None], n[y]) * SIMILARITY
-        if i[0] == j[0]:
+        open_ = np.minimum(n[x][:, None], n[y]) >= np.maximum(n[x][:, None], n[y]) * least
+        if (at == BOTH).any():
             open_ &= x[:, None] < y
         if group.column("label").null_count == 0:
             label = group.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
@@ -318,10 +391,16 @@ def block_pairs(large: DataFrame, keys: DataFrame, labels: DataFrame | None = No
         for r in range(int(place[0]) if len(place) else SKETCHES):
             open_ &= sketch[x, r][:, None] != sketch[y, r]
         u, v = np.nonzero(open_)
-        k = group.column("k").combine_chunks()
-        return pa.table({"x": k.take(pa.array(x[u])), "y": k.take(pa.array(y[v]))})
-
-    pairs = rows.groupBy("key", "i", "j").applyInArrow(compare, f"x {kind}, y {kind}")
+        u, v = x[u], y[v]
+        if len(u):
+            counters = folded(group.column("profile").to_pylist())
+            most = np.floor((1 - least) * np.maximum(n[u], n[v]) + 1e-9)
+            step = max(1, 4_000_000 // counters.shape[1])
+            near = np.concatenate([apart(counters[u[i : i + step]], counters[v[i : i + step]]) for i in range(0, len(u), step)]) <= most
+            u, v = u[near], v[near]
+        return pa.table({"x": k.take(pa.array(u)), "y": k.take(pa.array(v))})
+
+    pairs = rows.groupBy("key", "g", "p").applyInArrow(compare, f"x {kind}, y {kind}")
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
@@ -385,6 +464,11 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", least
     random, and 99.25 % with every fifth word changed. Texts of up to ONE_EDIT words that can be linked
     always meet.
     """
+    with scratch(docs.sparkSession, "near"):
+        return through_table(_classes(docs, text, key, least, count_links), "near-classes", keep=True)
+
+
+def _classes(docs: DataFrame, text: str, key: str, least: float, count_links: bool) -> DataFrame:
     keyed = docs.where(F.col(key).isNotNull())
     table = through_table(sketches(keyed, text, key), "near-sketches")
     # a table of its own, so that the join below is of plain rows and a hot text can be split over tasks
@@ -393,21 +477,19 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", least
     reps = member.where("k = rep").select("k").distinct()
     bands = table.select("k", "n", F.explode(F.concat("keys", "ways")).alias("key")).join(reps, "k", "left_semi").distinct()
     small, large = buckets(bands)
-    keys = table.select("k", "keys").join(large.select("k").distinct(), "k", "left_semi").dropDuplicates(["k"])
+    keys = table.select("k", "keys", "profile").join(large.select("k").distinct(), "k", "left_semi").dropDuplicates(["k"])
     if count_links:
-        pairs = through_table(ordered_pairs(small_pairs(small)).unionByName(block_pairs(large, keys)).distinct(), "near-pairs")
+        pairs = through_table(ordered_pairs(small_pairs(small), least).unionByName(block_pairs(large, keys, least=least)).distinct(), "near-pairs")
         links = check_pairs(pairs, table, least)
     else:
-        pairs = through_table(candidates(small, large), "near-pairs")
+        pairs = through_table(candidates(small, large, least), "near-pairs")
         links = check_pairs(pairs, table, least)
         if not large.isEmpty():
             # hubs of single buckets, then all that still lie in different classes
-            for rest in (lambda labels: more_candidates(large, labels, pairs), lambda labels: block_pairs(large, keys, labels).join(pairs, ["a", "b"], "left_anti").distinct()):
+            for rest in (lambda labels: more_candidates(large, labels, pairs, least), lambda labels: block_pairs(large, keys, labels, least).join(pairs, ["a", "b"], "left_anti").distinct()):
                 more = through_table(rest(components(links)), "near-pairs")
                 links = links.unionByName(check_pairs(more, table, least))
                 pairs = pairs.unionByName(more)
-    for done in (table, copies, large, pairs):
-        drop_table(done)
     degree = links.select(F.col("a").alias("rep")).unionAll(links.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     if links.isEmpty():
         named = member.select("k", F.col("rep").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))

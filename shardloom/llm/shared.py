@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import ctypes
 import gc
 import uuid
@@ -17,6 +19,8 @@ def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir, read from the session."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = LOCAL_SHARED
         if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
             spark.sparkContext.setCheckpointDir(root)
@@ -28,9 +32,29 @@ def shared_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_root(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
-def through_table(df: DataFrame, kind: str) -> DataFrame:
+#: The folder for tables between an operator's steps, while it runs.
+_SCRATCH: contextvars.ContextVar[str | None] = contextvars.ContextVar("scratch", default=None)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession, kind: str):
+    """While it lasts, through_table() writes into one folder, which is deleted at the end.
+
+    What outlives it, an operator's result, is written with keep=True.
+    """
+    folder = shared_path(spark, kind)
+    token = _SCRATCH.set(folder)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        drop_path(spark, folder)
+
+
+def through_table(df: DataFrame, kind: str, keep: bool = False) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: cuts the lineage, and survives lost executors."""
-    spark, path = df.sparkSession, shared_path(df.sparkSession, kind)
+    spark, folder = df.sparkSession, _SCRATCH.get()
+    path = f"{folder}/{kind}-{uuid.uuid4().hex}" if folder and not keep else shared_path(spark, kind)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1,5 +1,6 @@
 """Text operators against brute force, libraries, round trips and held-out accuracy."""
 
+import collections
 import hashlib
 import random
 import re
@@ -308,6 +309,67 @@ def test_texts_at_the_least_similarity_meet(spark):
     assert sum(met[:40]) >= 38 and all(met[40:])
 
 
+def test_profiles_bound_the_distance():
+    rnd = random.Random(15)
+    for _ in range(150):
+        a = [rnd.randrange(1, 30) for _ in range(rnd.randrange(5, 400))]
+        b = list(a)
+        for _ in range(rnd.randrange(1 + len(a) // 3)):
+            i = rnd.randrange(len(b) + 1)
+            b[i : i + rnd.randrange(2)] = [rnd.randrange(30) for _ in range(rnd.randrange(2))]
+        both = np.array(a + b, np.uint64)
+        counters = near.folded(near.profiles(both, np.array([0, len(a), len(a) + len(b)])))
+        assert near.apart(counters[:1], counters[1:])[0] <= edit(a, b)
+
+
+@pytest.mark.parametrize("low, high", [(0.80, 0.85), (0.85, 0.90), (0.90, 1.0)])
+def test_recall_of_links_by_band_of_similarity(spark, low, high):
+    """Substitutions, insertions and deletions at random; the similarity is the full edit distance's."""
+    rnd = random.Random(int(low * 100))
+    word = lambda: "".join(rnd.choice("klmnopqrst") for _ in range(6))
+    texts = []
+    while len(texts) < 80:
+        w = [word() for _ in range(rnd.choice([15, 50, 100, 200]))]
+        v = list(w)
+        for _ in range(rnd.randint(1, len(w) // 4)):
+            at = rnd.randrange(len(v))
+            v[at : at + 1] = [[word()], [v[at], word()], []][rnd.randrange(3)]
+        if low <= 1 - edit(w, v) / max(len(w), len(v)) < high:
+            texts += [" ".join(w), " ".join(v)]
+    rows = near_classes(docs(spark, texts), count_links=False).orderBy("doc_id").collect()
+    met = [rows[i].class_id == rows[i + 1].class_id for i in range(0, len(rows), 2)]
+    assert sum(met) >= 0.9 * len(met), sum(met)
+
+
+def brute_classes(texts, least=0.8):
+    """Classes by the full edit distance of all pairs of different word sequences."""
+    ws = [tuple(re.findall(r"[a-z0-9\x80-\U0010ffff]+", "".join(c.lower() if c < "\x80" else c for c in t or ""))) for t in texts]
+    first, ids = {}, {}
+    for i, w in enumerate(ws):
+        first.setdefault(w, i)
+        for x in w:
+            ids.setdefault(x, len(ids))
+    label = {i: i for i in first.values()}
+    whole = sorted((w for w in first if len(w) >= 5), key=len)
+    for i, a in enumerate(whole):
+        for b in whole[i + 1 :]:
+            if len(a) < len(b) * least:
+                break
+            most = int((1 - least) * len(b) + 1e-9)
+            if sum((collections.Counter(b) - collections.Counter(a)).values()) <= most and edit(a, b) <= most:
+                x, y = label[first[a]], label[first[b]]
+                label = {k: min(x, y) if v in (x, y) else v for k, v in label.items()}
+    return [label[first[w]] for w in ws]
+
+
+def test_near_classes_of_the_fixture_against_brute_force(spark, sf):
+    rows = [r for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect() if len(r.text or "") < 4000]
+    want = brute_classes([r.text for r in rows])
+    got = near_classes(docs(spark, [r.text for r in rows]), count_links=False).orderBy("doc_id").collect()
+    assert len(set(want)) < len(want)
+    assert [r.class_id for r in got] == want
+
+
 def test_links_of_a_large_family_are_counted(spark):
     rnd = random.Random(13)
     word = lambda: "".join(rnd.choice("klmnopqrst") for _ in range(5))
