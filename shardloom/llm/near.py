@@ -28,8 +28,10 @@ BROADCAST_ROWS = 500_000
 #: Rows of two word lists each in an Arrow batch.
 PAIR_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500"}
 NONE = np.uint64(2**64 - 1)
-#: Counters of a text's profile: as many as it has words, as a power of two between these.
-FEWEST, MOST = 128, 2048
+#: Words in a block of a large bucket, where its texts are long, and pairs aligned at a time there.
+BLOCK_WORDS, ALIGNED = 400_000, 256
+#: Bins into which the words of a block's texts are hashed: four times a text's words, as a power of two, at most this many.
+BINS = 4096
 
 
 def sketch_block(raw: np.ndarray, off: np.ndarray, sketches: int = SKETCHES):
@@ -65,10 +67,11 @@ def sketch_block(raw: np.ndarray, off: np.ndarray, sketches: int = SKETCHES):
             value = np.where(low == NONE, NONE, h[at])
             picked.append((np.where(low == NONE, len(h), at), value))
             g[at] = NONE
-        (p, x), (q, y) = picked
-        swap = q < p
-        x, y = np.where(swap, y, x), np.where(swap, x, y)
-        keys[r, some] = mix(mix(x) * np.uint64(3) + y + np.uint64(r))
+        places, values = (np.stack(x) for x in zip(*picked, strict=True))
+        key = np.full(len(some), np.uint64(r + 1))
+        for value in np.take_along_axis(values, np.argsort(places, axis=0, kind="stable"), axis=0):
+            key = mix(key * np.uint64(3) + mix(value))
+        keys[r, some] = key
     return hashes, w_off, keys, n
 
 
@@ -96,36 +99,8 @@ def without_a_word(hashes: np.ndarray, w_off: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def profiles(hashes: np.ndarray, w_off: np.ndarray) -> list[bytes]:
-    """For each text how often it has each pair of adjacent words, by hash, in counters of one byte that stop at 255."""
-    h, g_off = grams(hashes, w_off, 2)
-    size = np.diff(w_off)
-    width = np.clip(1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64), FEWEST, MOST)
-    begin = np.concatenate((np.zeros(1, np.int64), np.cumsum(width)))
-    text = np.repeat(np.arange(len(size)), np.diff(g_off))
-    place = begin[text] + (mix(h + np.uint64(5)) & (width[text] - 1).astype(np.uint64)).astype(np.int64)
-    flat = np.minimum(np.bincount(place, minlength=int(begin[-1])), 255).astype(np.uint8).tobytes()
-    return [flat[a:b] for a, b in zip(begin.tolist(), begin[1:].tolist(), strict=False)]
-
-
-def folded(rows: list[bytes]) -> np.ndarray:
-    """Profiles as rows of one matrix, all as narrow as the narrowest: counters of equal low bits are added."""
-    least = min(map(len, rows))
-    return np.stack([np.frombuffer(r, np.uint8).reshape(-1, least).sum(0, dtype=np.int32) for r in rows])
-
-
-def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For rows of two matrices of profiles a lower bound of the edit distance of their texts.
-
-    An edit takes away at most two of a text's pairs of words, so half of those that the other text lacks
-    is a bound; a counter that stopped at 255 only makes it smaller.
-    """
-    d = a - b
-    return np.maximum(np.maximum(d, 0).sum(1), np.maximum(-d, 0).sum(1)) / 2
-
-
 def sketches(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(k, d1, d2: digest of the word sequence, n: words, keys: sketches, ways: of short texts, profile, ws: words as int32 bytes)."""
+    """(k, d1, d2: digest of the word sequence, n: words, keys: sketches, ways: of short texts, ws: words as int32 bytes)."""
     kind = docs.schema[key].dataType.simpleString()
 
     def make():
@@ -149,42 +124,63 @@ def sketches(docs: DataFrame, text: str, key: str) -> DataFrame:
                         pa.array(n_words.astype(np.int64)),
                         lists,
                         pa.array(ways, pa.list_(pa.int64())),
-                        pa.array(profiles(hashes, w_off), pa.binary()),
                         pa.array([small[x:y] for x, y in zip(bounds, bounds[1:], strict=False)], pa.binary()),
                     ],
-                    ["k", "d1", "d2", "n", "keys", "ways", "profile", "ws"],
+                    ["k", "d1", "d2", "n", "keys", "ways", "ws"],
                 )
 
         return f
 
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    return map_arrow(rows, make, f"k {kind}, d1 bigint, d2 bigint, n bigint, keys array<bigint>, ways array<bigint>, profile binary, ws binary")
+    return map_arrow(rows, make, f"k {kind}, d1 bigint, d2 bigint, n bigint, keys array<bigint>, ways array<bigint>, ws binary")
 
 
 # -- alignment -------------------------------------------------------------------------------------
 
 
-Q = 3
-
-
-def may_be_near(a: np.ndarray, b: np.ndarray, most: int) -> bool:
-    """False if the texts have too few runs of Q words in common, with repeats, for an edit distance of `most`.
-
-    An edit changes at most Q of a text's runs, so at least longer length - Q + 1 - Q * most must be left.
+def common_runs(pairs: list[tuple[np.ndarray, np.ndarray]], q: int) -> np.ndarray:
+    """For each pair the number of runs of q words that both texts have, with repeats (or a little more, where hashes collide)."""
+    sides = []
+    for side in (0, 1):
+        sizes = np.array([len(p[side]) for p in pairs])
+        flat = np.concatenate([p[side] for p in pairs]).astype(np.uint64)
+        of = np.repeat(np.arange(len(pairs)), sizes)
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(flat))
+        h = mix(of.astype(np.uint64) + np.uint64(1))
+        for j in range(q):
+            h = mix(h * np.uint64(3) + np.concatenate((flat[j:], np.zeros(min(j, len(flat)), np.uint64))))
+        h, of = h[left >= q], of[left >= q]
+        order = np.argsort(h, kind="stable")
+        h, of = h[order], of[order]
+        # equal runs are told apart by their rank
+        place = np.arange(len(h))
+        first = np.ones(len(h), bool)
+        first[1:] = h[1:] != h[:-1]
+        rank = place - np.maximum.accumulate(np.where(first, place, 0))
+        sides.append((mix(h + rank.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), of))
+    (x, of), (y, _) = sides
+    y = np.sort(y)
+    if not len(y):
+        return np.zeros(len(pairs), np.int64)
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    return np.bincount(of[y[at] == x], minlength=len(pairs))
+
+
+def may_be_near(pairs: list[tuple[np.ndarray, np.ndarray]], most: np.ndarray) -> np.ndarray:
+    """False where texts have too few runs of words in common for an edit distance of `most`.
+
+    An edit changes at most q of a text's runs of q words, so at least longer length - q + 1 - q * most must be left.
     """
-    need = max(len(a), len(b)) - Q + 1 - Q * most
-    if need <= 0:
-        return True
-    x, y = (np.sort(sum(w[i : len(w) - Q + 1 + i].astype(np.int64) * (0x9E3779B1 * (2 * i + 1) ** 7) for i in range(Q))) if len(w) >= Q else np.zeros(0, np.int64) for w in (a, b))
-    both = np.concatenate((x, y))
-    both.sort(kind="stable")
-    same = both[1:] == both[:-1]
-    if int(same.sum()) < need:
-        return False
-    ux, cx = np.unique(x, return_counts=True)
-    uy, cy = np.unique(y, return_counts=True)
-    _, i, j = np.intersect1d(ux, uy, assume_unique=True, return_indices=True)
-    return int(np.minimum(cx[i], cy[j]).sum()) >= need
+    long = np.array([max(len(a), len(b)) for a, b in pairs], np.int64)
+    keep = np.ones(len(pairs), bool)
+    for q in (1, 3):
+        at = np.flatnonzero(keep & (long - q + 1 - q * most > 0))
+        upto = np.cumsum(long[at]) // BLOCK_WORDS
+        for part in range(int(upto[-1]) + 1 if len(at) else 0):
+            some = at[upto == part]
+            if len(some):
+                keep[some] = common_runs([pairs[i] for i in some], q) >= long[some] - q + 1 - q * most[some]
+    return keep
 
 
 def band_distance(pairs: list[tuple[np.ndarray, np.ndarray]], band: int) -> np.ndarray:
@@ -230,7 +226,8 @@ def similar(pairs: list[tuple[np.ndarray, np.ndarray]], least: float = SIMILARIT
     out = np.zeros(len(pairs))
     long = np.array([max(len(a), len(b), 1) for a, b in pairs])
     most = np.floor((1 - least) * long + 1e-9).astype(int)
-    todo = [i for i, (a, b) in enumerate(pairs) if abs(len(a) - len(b)) <= most[i] and may_be_near(a, b, int(most[i]))]
+    todo = [i for i, (a, b) in enumerate(pairs) if abs(len(a) - len(b)) <= most[i]]
+    todo = [todo[i] for i in np.flatnonzero(may_be_near([pairs[i] for i in todo], most[todo]))]
     band = 8
     while todo:
         todo.sort(key=lambda i: long[i])
@@ -324,31 +321,32 @@ COMPARED = [(HOME_MAIN, HOME), (HOME_MAIN, LOWER), (HOME, HOME), (HOME, LOWER_MA
 FIRST, SECOND, BOTH = 0, 1, 2
 
 
-def block_pairs(large: DataFrame, keys: DataFrame, labels: DataFrame | None = None, least: float = SIMILARITY) -> DataFrame:
-    """All pairs (a, b), a < b, of texts that meet in a large bucket and may be linked; with `labels`, of different classes.
+def block_links(large: DataFrame, texts: DataFrame, labels: DataFrame | None = None, least: float = SIMILARITY) -> DataFrame:
+    """Links (a, b), a < b, among texts that meet in a large bucket: all of them, or with `labels` (of their classes so far)
+    as many as unite the same texts.
 
     A bucket is split by length class, and a class, with the next shorter one, into blocks of about BLOCK
     texts; every two blocks are compared by one group, so that a hot bucket is spread over tasks. Blocks of
-    the bucket's commonest label aren't compared with each other. Lengths and profiles leave out only pairs that
-    can't be linked. A pair comes out of the first sketch only that its texts share.
+    the bucket's commonest label aren't compared with each other. All pairs of a group whose lengths and words
+    allow a link are aligned, but those that links of the group have put into one class: so no group gives
+    more links than it has texts. Only keys and lengths are dealt out; the words join them at the end.
     """
     kind = large.schema["k"].dataType.simpleString()
-    rows = large.select("key", "k", "n").join(keys, "k")
-    main = F.lit(False)
+    rows, main = large.select("key", "k", "n"), F.lit(False)
     if labels is None:
         rows = rows.withColumn("label", F.lit(None).cast(kind))
     else:
         rows = through_table(rows.join(labels, "k", "left").withColumn("label", F.coalesce("label", "k")), "near-blocked")
         sizes = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("key")
-        of = through_table(sizes.agg(F.max_by("label", "c").alias("commonest"), F.count(F.lit(1)).alias("labels")).where("labels > 1"), "near-commonest")
+        of = through_table(sizes.agg(F.max_by("label", "c").alias("commonest"), F.count(F.lit(1)).alias("labels")).where("labels > 1").drop("labels"), "near-commonest")
         rows, main = rows.join(of, "key"), F.col("label") == F.col("commonest")
     length = F.floor(F.log("n") / float(-np.log(least)) + 1e-9)
     homes = F.array(*(F.struct((length + up).alias("g"), (F.when(main, F.lit(0)).otherwise(1) + 2 * up).alias("role")) for up in (0, 1)))
-    rows = rows.select("key", "k", "n", "label", "keys", "profile", F.explode(homes).alias("h")).select("key", "k", "n", "label", "keys", "profile", "h.g", "h.role")
-    counts = rows.groupBy("key", "g").agg(F.array(*(F.ceil(F.count_if(F.col("role") == r) / BLOCK) for r in range(4))).alias("blocks"))
+    rows = through_table(rows.select("key", "k", "n", "label", F.explode(homes).alias("h")).select("key", "k", "n", "label", "h.g", "h.role"), "near-roles")
+    share = F.greatest(F.lit(1.0 / BLOCK), F.col("n") / float(BLOCK_WORDS))
+    counts = rows.groupBy("key", "g").agg(F.array(*(F.ceil(F.coalesce(F.sum(F.when(F.col("role") == r, share)), F.lit(0.0)) - 1e-6) for r in range(4))).alias("blocks"))
     rows = rows.join(through_table(counts.where(F.col("blocks")[HOME_MAIN] + F.col("blocks")[HOME] > 0), "near-counts"), ["key", "g"])
-    mine = F.pmod(F.xxhash64("k"), F.element_at("blocks", F.col("role") + 1))
-    rows = rows.withColumn("mine", mine)
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("k"), F.element_at("blocks", F.col("role") + 1)))
 
     def partners(a: int, b: int, at: int):
         """The groups in which a row of role `a` (at FIRST) or `b` (at SECOND) meets the other role's blocks."""
@@ -369,39 +367,77 @@ def block_pairs(large: DataFrame, keys: DataFrame, labels: DataFrame | None = No
     to = F.when(F.col("role") == HOME, meets(HOME))
     for r in (HOME_MAIN, LOWER_MAIN, LOWER):
         to = to.when(F.col("role") == r, meets(r))
-    rows = rows.select("key", "g", F.explode(to).alias("t"), "k", "n", "label", "keys", "profile").select("key", "g", "t.p", "t.at", "k", "n", "label", "keys", "profile")
+    rows = rows.select("key", "g", F.explode(to).alias("t"), "k", "label").select("key", "g", "t.p", "t.at", "k", "label")
+    # groups with nothing to compare go before the words come
+    sides = rows.groupBy("key", "g", "p").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.count(F.lit(1)).alias("c"))
+    useful = through_table(sides.where(((F.col("low") == FIRST) & (F.col("high") == SECOND)) | ((F.col("low") == BOTH) & (F.col("c") > 1))).select("key", "g", "p"), "near-groups")
+    rows = through_table(rows.join(useful, ["key", "g", "p"]), "near-dealt").join(texts, "k")
+    forest = labels is not None
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        at, n = (group.column(c).to_numpy() for c in ("at", "n"))
+        at, k = group.column("at").to_numpy(), group.column("k").combine_chunks()
+        ws = [np.frombuffer(w, "<i4") for w in group.column("ws").to_pylist()]
+        n = np.array([len(w) for w in ws])
         x, y = np.flatnonzero(at != SECOND), np.flatnonzero(at != FIRST)
-        k = group.column("k").combine_chunks()
-        if not len(x) or not len(y):
-            return pa.table({"x": k.slice(0, 0), "y": k.slice(0, 0)})
-        key = group.column("key")[0].as_py()
-        sketch = group.column("keys").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(n), -1)
-        open_ = np.minimum(n[x][:, None], n[y]) >= np.maximum(n[x][:, None], n[y]) * least
+        long = np.maximum(n[x][:, None], n[y])
+        most = np.floor((1 - least) * long + 1e-9).astype(np.int64)
+        open_ = long - np.minimum(n[x][:, None], n[y]) <= most
         if (at == BOTH).any():
             open_ &= x[:, None] < y
-        if group.column("label").null_count == 0:
-            label = group.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+        root = list(range(len(ws)))
+        if forest:
+            root = group.column("label").combine_chunks().dictionary_encode().indices.to_numpy().tolist()
+            label = np.array(root)
             open_ &= label[x][:, None] != label[y]
-        # sketches before the one of this bucket, which all its texts have at the same place; all of them if short texts meet by words left out
-        place = np.flatnonzero(sketch[0] == key)
-        for r in range(int(place[0]) if len(place) else SKETCHES):
-            open_ &= sketch[x, r][:, None] != sketch[y, r]
-        u, v = np.nonzero(open_)
-        u, v = x[u], y[v]
-        if len(u):
-            counters = folded(group.column("profile").to_pylist())
-            most = np.floor((1 - least) * np.maximum(n[u], n[v]) + 1e-9)
-            step = max(1, 4_000_000 // counters.shape[1])
-            near = np.concatenate([apart(counters[u[i : i + step]], counters[v[i : i + step]]) for i in range(0, len(u), step)]) <= most
-            u, v = u[near], v[near]
-        return pa.table({"x": k.take(pa.array(u)), "y": k.take(pa.array(v))})
-
-    pairs = rows.groupBy("key", "g", "p").applyInArrow(compare, f"x {kind}, y {kind}")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+            root = list(range(len(ws)))
+            first = {}
+            for i, of in enumerate(label.tolist()):
+                root[i] = first.setdefault(of, i)
+        if open_.any():
+            bins = occurrences(ws)
+            open_ &= bins[x] @ bins[y].T >= long - most
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        out = []
+        todo = np.argwhere(open_)
+        while len(todo):
+            some = [(x[u], y[v]) for u, v in todo[:ALIGNED].tolist()]
+            todo = todo[ALIGNED:]
+            some = [(i, j) for i, j in some if not forest or find(i) != find(j)]
+            found = similar([(ws[i], ws[j]) for i, j in some], least) if some else []
+            for (i, j), sim in zip(some, found, strict=True):
+                if sim > 0 and (not forest or find(i) != find(j)):
+                    root[find(i)] = find(j)
+                    out.append((i, j))
+        u, v = (pa.array([p[side] for p in out], pa.int64()) for side in (0, 1))
+        return pa.table({"x": k.take(u), "y": k.take(v)})
+
+    links = rows.groupBy("key", "g", "p").applyInArrow(compare, f"x {kind}, y {kind}")
+    return links.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def occurrences(ws: list[np.ndarray]) -> np.ndarray:
+    """A matrix with one row per text, such that the product of two rows is at least the number of words they have in common, with repeats.
+
+    Words, told apart by their rank among equal ones, are hashed into bins; column (t, bin) says whether a text
+    has more than t words there, so that equal columns add up to the lesser of two counts.
+    """
+    width = min(BINS, 1 << int(np.ceil(np.log2(4 * max(1, *map(len, ws))))))
+    of = np.repeat(np.arange(len(ws)), [len(w) for w in ws]).astype(np.int64)
+    words_ = np.concatenate(ws).astype(np.int64)
+    order = np.lexsort((words_, of))
+    place, first = np.arange(len(order)), np.ones(len(order), bool)
+    first[1:] = (words_[order][1:] != words_[order][:-1]) | (of[order][1:] != of[order][:-1])
+    rank = place - np.maximum.accumulate(np.where(first, place, 0))
+    bin_ = (mix(words_[order].astype(np.uint64) * np.uint64(3) + rank.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(width - 1)).astype(np.int64)
+    counts = np.bincount(of[order] * width + bin_, minlength=len(ws) * width).reshape(len(ws), width)
+    return np.concatenate([(counts > t).astype(np.float32) for t in range(int(counts.max()))], axis=1)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -431,14 +467,19 @@ def table_bytes(df: DataFrame) -> int:
     return sum(folder_bytes(df.sparkSession, folder) for folder in {f.rpartition("/")[0] for f in df.inputFiles()})
 
 
+def words_of(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """(k, ws), once for each k of `rows`, from the sketch table."""
+    return table.select("k", "ws").join(rows.select("k").distinct(), "k", "left_semi").dropDuplicates(["k"])
+
+
 def check_pairs(pairs: DataFrame, table: DataFrame, least: float) -> DataFrame:
     """The links among pairs (a, b), with their words from the sketch table."""
     ids = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
     if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
     texts = through_table(table.select("k", "ws").join(ids, "k", "left_semi").dropDuplicates(["k"]), "near-texts")
-    words_of = F.broadcast(texts) if table_bytes(texts) <= BROADCAST_BYTES else texts
-    both = pairs.join(words_of.select(F.col("k").alias("a"), F.col("ws").alias("wa")), "a").join(words_of.select(F.col("k").alias("b"), F.col("ws").alias("wb")), "b")
+    said = F.broadcast(texts) if table_bytes(texts) <= BROADCAST_BYTES else texts
+    both = pairs.join(said.select(F.col("k").alias("a"), F.col("ws").alias("wa")), "a").join(said.select(F.col("k").alias("b"), F.col("ws").alias("wb")), "b")
     with settings(pairs.sparkSession, PAIR_BATCH):
         links = through_table(verify(both.select("a", "b", "wa", "wb"), least), "near-verified")
     drop_table(texts)
@@ -477,19 +518,18 @@ def _classes(docs: DataFrame, text: str, key: str, least: float, count_links: bo
     reps = member.where("k = rep").select("k").distinct()
     bands = table.select("k", "n", F.explode(F.concat("keys", "ways")).alias("key")).join(reps, "k", "left_semi").distinct()
     small, large = buckets(bands)
-    keys = table.select("k", "keys", "profile").join(large.select("k").distinct(), "k", "left_semi").dropDuplicates(["k"])
     if count_links:
-        pairs = through_table(ordered_pairs(small_pairs(small), least).unionByName(block_pairs(large, keys, least=least)).distinct(), "near-pairs")
-        links = check_pairs(pairs, table, least)
+        pairs = through_table(ordered_pairs(small_pairs(small), least), "near-pairs")
+        links = check_pairs(pairs, table, least).select("a", "b").unionByName(block_links(large, words_of(table, large), None, least)).distinct()
+        links = through_table(links, "near-links")
     else:
         pairs = through_table(candidates(small, large, least), "near-pairs")
-        links = check_pairs(pairs, table, least)
+        links = check_pairs(pairs, table, least).select("a", "b")
         if not large.isEmpty():
             # hubs of single buckets, then all that still lie in different classes
-            for rest in (lambda labels: more_candidates(large, labels, pairs, least), lambda labels: block_pairs(large, keys, labels, least).join(pairs, ["a", "b"], "left_anti").distinct()):
-                more = through_table(rest(components(links)), "near-pairs")
-                links = links.unionByName(check_pairs(more, table, least))
-                pairs = pairs.unionByName(more)
+            more = through_table(more_candidates(large, components(links), pairs, least), "near-pairs")
+            links = links.unionByName(check_pairs(more, table, least).select("a", "b"))
+            links = links.unionByName(through_table(block_links(large, words_of(table, large), components(links), least), "near-links"))
     degree = links.select(F.col("a").alias("rep")).unionAll(links.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     if links.isEmpty():
         named = member.select("k", F.col("rep").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))

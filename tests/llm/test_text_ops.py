@@ -309,17 +309,23 @@ def test_texts_at_the_least_similarity_meet(spark):
     assert sum(met[:40]) >= 38 and all(met[40:])
 
 
-def test_profiles_bound_the_distance():
-    rnd = random.Random(15)
-    for _ in range(150):
-        a = [rnd.randrange(1, 30) for _ in range(rnd.randrange(5, 400))]
+def test_common_runs_and_words_against_counters():
+    rnd, pairs = random.Random(15), []
+    for _ in range(120):
+        a = [rnd.randrange(1, 30) for _ in range(rnd.randrange(0, 300))]
         b = list(a)
         for _ in range(rnd.randrange(1 + len(a) // 3)):
             i = rnd.randrange(len(b) + 1)
             b[i : i + rnd.randrange(2)] = [rnd.randrange(30) for _ in range(rnd.randrange(2))]
-        both = np.array(a + b, np.uint64)
-        counters = near.folded(near.profiles(both, np.array([0, len(a), len(a) + len(b)])))
-        assert near.apart(counters[:1], counters[1:])[0] <= edit(a, b)
+        pairs.append((np.array(a, np.int32), np.array(b, np.int32)))
+    runs = lambda w, q: collections.Counter(tuple(w[i : i + q].tolist()) for i in range(len(w) - q + 1))
+    for q in (1, 3):
+        assert near.common_runs(pairs, q).tolist() == [sum((runs(a, q) & runs(b, q)).values()) for a, b in pairs]
+    for a, b in pairs:
+        if len(a) and len(b):
+            bins = near.occurrences([a, b])
+            assert bins[0] @ bins[1] >= sum((runs(a, 1) & runs(b, 1)).values())
+            assert bins[0].sum() == len(a) and bins[1].sum() == len(b)
 
 
 @pytest.mark.parametrize("low, high", [(0.80, 0.85), (0.85, 0.90), (0.90, 1.0)])
