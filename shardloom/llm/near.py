@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shardloom.llm.bytehash import byte_blocks, grams, mix, sequences, words
 from shardloom.llm.exact import folder_bytes, settings
-from shardloom.llm.shared import drop_table, map_arrow, scratch, through_table
+from shardloom.llm.shared import map_arrow, scratch, through_table
 
 K = 2  # words in a k-mer
 PICK = 2  # k-mers in a sketch, in the order of the text
@@ -18,7 +18,7 @@ SKETCHES = 24
 LEAST_WORDS, ONE_EDIT = 5, 9
 SIMILARITY = 0.8
 #: Buckets of up to so many texts are paired in SQL, larger ones in blocks of so many texts.
-SMALL, BLOCK = 16, 512
+SMALL, BLOCK = 16, 1024
 #: Where links needn't be counted, each text of a large bucket first meets this many hubs of that bucket alone.
 MORE_HUBS = 3
 #: Word lists of up to so many bytes are broadcast to the pairs; beyond, they are joined by shuffle.
@@ -30,6 +30,11 @@ PAIR_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500"}
 NONE = np.uint64(2**64 - 1)
 #: Words in a block of a large bucket, where its texts are long, and pairs aligned at a time there.
 BLOCK_WORDS, ALIGNED = 400_000, 256
+#: Bits of a text's bitmap of words: two to four times its words, as a power of two between these.
+FEWEST, MOST = 128, 8192
+NONE = np.uint64(2**64 - 1)
+#: Words in a block of a large bucket, where its texts are long, and pairs aligned at a time there.
+BLOCK_WORDS, ALIGNED = 400_000, 256
 #: Bins into which the words of a block's texts are hashed: four times a text's words, as a power of two, at most this many.
 BINS = 4096
 
@@ -99,8 +104,43 @@ def without_a_word(hashes: np.ndarray, w_off: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def ranks(values: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """For each value how many equal ones of the same group come before it."""
+    order = np.lexsort((values, of))
+    first = np.ones(len(order), bool)
+    first[1:] = (values[order][1:] != values[order][:-1]) | (of[order][1:] != of[order][:-1])
+    place = np.arange(len(order))
+    out = np.empty(len(order), np.int64)
+    out[order] = place - np.maximum.accumulate(np.where(first, place, 0))
+    return out
+
+
+def bitmaps(hashes: np.ndarray, w_off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps of each text's words, told apart by their rank among equal ones: (int64 words, offsets).
+
+    A bit that only one of two texts has stands for a word that the other lacks, so the number of such bits
+    bounds the number of edits between them from below.
+    """
+    size = np.diff(w_off)
+    width = np.clip(1 << np.ceil(np.log2(np.maximum(2 * size, 1))).astype(np.int64), FEWEST, MOST)
+    begin = np.concatenate((np.zeros(1, np.int64), np.cumsum(width)))
+    of = np.repeat(np.arange(len(size)), size)
+    h = mix(hashes[: len(of)] * np.uint64(3) + ranks(hashes[: len(of)], of).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    bits = np.zeros(int(begin[-1]), bool)
+    bits[begin[of] + (h & (width[of] - 1).astype(np.uint64)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").view(np.int64), begin // 64
+
+
+def lacking(a: str, b: str):
+    """The greater number of bits that one of two bitmaps (columns) has and the other lacks, after both are folded to the shorter length."""
+    fold = "if(size({x}) > size({y}), zip_with(slice({x}, 1, size({y})), slice({x}, size({y}) + 1, size({y})), (p, q) -> p | q), {x})"
+    one = "aggregate(zip_with({f}, {g}, (p, q) -> bit_count(p & ~q)), 0, (s, c) -> s + c)"
+    f, g = fold.format(x=a, y=b), fold.format(x=b, y=a)
+    return F.greatest(F.expr(one.format(f=f, g=g)), F.expr(one.format(f=g, g=f)))
+
+
 def sketches(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(k, d1, d2: digest of the word sequence, n: words, keys: sketches, ways: of short texts, ws: words as int32 bytes)."""
+    """(k, d1, d2: digest of the word sequence, n: words, keys: sketches, ways: of short texts, bits: bitmap of words, ws: words as int32 bytes)."""
     kind = docs.schema[key].dataType.simpleString()
 
     def make():
@@ -113,6 +153,7 @@ def sketches(docs: DataFrame, text: str, key: str) -> DataFrame:
                 rows = keys.T.astype(np.uint64).view(np.int64)
                 has = n_words >= LEAST_WORDS
                 ways = without_a_word(hashes, w_off)
+                bits, bit_off = bitmaps(hashes, w_off)
                 flat = pa.array(np.ascontiguousarray(rows[has]).reshape(-1))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(has * rows.shape[1]))), pa.int32()), flat)
                 bounds = (w_off * 4).tolist()
@@ -124,15 +165,16 @@ def sketches(docs: DataFrame, text: str, key: str) -> DataFrame:
                         pa.array(n_words.astype(np.int64)),
                         lists,
                         pa.array(ways, pa.list_(pa.int64())),
+                        pa.ListArray.from_arrays(pa.array(bit_off, pa.int32()), pa.array(bits)),
                         pa.array([small[x:y] for x, y in zip(bounds, bounds[1:], strict=False)], pa.binary()),
                     ],
-                    ["k", "d1", "d2", "n", "keys", "ways", "ws"],
+                    ["k", "d1", "d2", "n", "keys", "ways", "bits", "ws"],
                 )
 
         return f
 
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    return map_arrow(rows, make, f"k {kind}, d1 bigint, d2 bigint, n bigint, keys array<bigint>, ways array<bigint>, ws binary")
+    return map_arrow(rows, make, f"k {kind}, d1 bigint, d2 bigint, n bigint, keys array<bigint>, ways array<bigint>, bits array<bigint>, ws binary")
 
 
 # -- alignment -------------------------------------------------------------------------------------
@@ -274,9 +316,10 @@ def buckets(bands: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def ordered_pairs(pairs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Distinct (a, b), a < b, of rows (x, nx, y, ny) whose lengths allow a link."""
-    near = F.least("nx", "ny") >= F.greatest("nx", "ny") * least
-    return pairs.where(near & (F.col("x") != F.col("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    """Distinct (a, b, n: the longer length), a < b, of rows (x, nx, y, ny) whose lengths allow a link."""
+    long = F.greatest("nx", "ny")
+    near = long - F.least("nx", "ny") <= F.floor(long * (1 - least) + 1e-9)
+    return pairs.where(near & (F.col("x") != F.col("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), long.alias("n")).distinct()
 
 
 def to_hubs(large: DataFrame, ranks: list, extra: list[str]) -> DataFrame:
@@ -321,7 +364,7 @@ COMPARED = [(HOME_MAIN, HOME), (HOME_MAIN, LOWER), (HOME, HOME), (HOME, LOWER_MA
 FIRST, SECOND, BOTH = 0, 1, 2
 
 
-def block_links(large: DataFrame, texts: DataFrame, labels: DataFrame | None = None, least: float = SIMILARITY) -> DataFrame:
+def block_links(large: DataFrame, table: DataFrame, labels: DataFrame | None = None, least: float = SIMILARITY) -> DataFrame:
     """Links (a, b), a < b, among texts that meet in a large bucket: all of them, or with `labels` (of their classes so far)
     as many as unite the same texts.
 
@@ -329,7 +372,8 @@ def block_links(large: DataFrame, texts: DataFrame, labels: DataFrame | None = N
     texts; every two blocks are compared by one group, so that a hot bucket is spread over tasks. Blocks of
     the bucket's commonest label aren't compared with each other. All pairs of a group whose lengths and words
     allow a link are aligned, but those that links of the group have put into one class: so no group gives
-    more links than it has texts. Only keys and lengths are dealt out; the words join them at the end.
+    more links than it has texts. Keys are dealt out first, then bitmaps for a first look, and words only for texts
+    that may be linked to one of their group.
     """
     kind = large.schema["k"].dataType.simpleString()
     rows, main = large.select("key", "k", "n"), F.lit(False)
@@ -371,32 +415,47 @@ def block_links(large: DataFrame, texts: DataFrame, labels: DataFrame | None = N
     # groups with nothing to compare go before the words come
     sides = rows.groupBy("key", "g", "p").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.count(F.lit(1)).alias("c"))
     useful = through_table(sides.where(((F.col("low") == FIRST) & (F.col("high") == SECOND)) | ((F.col("low") == BOTH) & (F.col("c") > 1))).select("key", "g", "p"), "near-groups")
-    rows = through_table(rows.join(useful, ["key", "g", "p"]), "near-dealt").join(texts, "k")
+    rows = through_table(rows.join(useful, ["key", "g", "p"]), "near-dealt")
     forest = labels is not None
 
-    def compare(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        at, k = group.column("at").to_numpy(), group.column("k").combine_chunks()
-        ws = [np.frombuffer(w, "<i4") for w in group.column("ws").to_pylist()]
-        n = np.array([len(w) for w in ws])
+    def open_pairs(group: pa.Table, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(texts on one side, texts on the other, matrix of pairs that lengths and classes allow)."""
+        at = group.column("at").to_numpy()
         x, y = np.flatnonzero(at != SECOND), np.flatnonzero(at != FIRST)
         long = np.maximum(n[x][:, None], n[y])
-        most = np.floor((1 - least) * long + 1e-9).astype(np.int64)
-        open_ = long - np.minimum(n[x][:, None], n[y]) <= most
+        out = long - np.minimum(n[x][:, None], n[y]) <= np.floor((1 - least) * long + 1e-9)
         if (at == BOTH).any():
-            open_ &= x[:, None] < y
+            out &= x[:, None] < y
+        if forest:
+            label = group.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+            out &= label[x][:, None] != label[y]
+        return x, y, out
+
+    def look(group: pa.Table) -> pa.Table:
+        """The rows of texts that may be linked to one of their group, by lengths, classes and bitmaps."""
+        group = group.combine_chunks()
+        n = group.column("n").to_numpy()
+        x, y, out = open_pairs(group, n)
+        if out.any():
+            maps = [np.unpackbits(np.array(w, np.int64).view(np.uint8), bitorder="little") for w in group.column("bits").to_pylist()]
+            width = min(map(len, maps))
+            bits = np.stack([m.reshape(-1, width).any(0) for m in maps]).astype(np.float32)
+            total, both = bits.sum(1), bits[x] @ bits[y].T
+            out &= np.maximum(total[x][:, None], total[y]) - both <= np.floor((1 - least) * np.maximum(n[x][:, None], n[y]) + 1e-9)
+        keep = np.zeros(len(n), bool)
+        keep[x[out.any(1)]] = True
+        keep[y[out.any(0)]] = True
+        return group.select(["key", "g", "p", "at", "k", "label"]).filter(pa.array(keep))
+
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        k = group.column("k").combine_chunks()
+        ws = [np.frombuffer(w, "<i4") for w in group.column("ws").to_pylist()]
+        x, y, may = open_pairs(group, np.array([len(w) for w in ws]))
         root = list(range(len(ws)))
         if forest:
-            root = group.column("label").combine_chunks().dictionary_encode().indices.to_numpy().tolist()
-            label = np.array(root)
-            open_ &= label[x][:, None] != label[y]
-            root = list(range(len(ws)))
-            first = {}
-            for i, of in enumerate(label.tolist()):
-                root[i] = first.setdefault(of, i)
-        if open_.any():
-            bins = occurrences(ws)
-            open_ &= bins[x] @ bins[y].T >= long - most
+            first: dict[int, int] = {}
+            root = [first.setdefault(of, i) for i, of in enumerate(group.column("label").combine_chunks().dictionary_encode().indices.to_pylist())]
 
         def find(i: int) -> int:
             while root[i] != i:
@@ -404,8 +463,7 @@ def block_links(large: DataFrame, texts: DataFrame, labels: DataFrame | None = N
                 i = root[i]
             return i
 
-        out = []
-        todo = np.argwhere(open_)
+        out, todo = [], np.argwhere(may)
         while len(todo):
             some = [(x[u], y[v]) for u, v in todo[:ALIGNED].tolist()]
             todo = todo[ALIGNED:]
@@ -418,28 +476,12 @@ def block_links(large: DataFrame, texts: DataFrame, labels: DataFrame | None = N
         u, v = (pa.array([p[side] for p in out], pa.int64()) for side in (0, 1))
         return pa.table({"x": k.take(u), "y": k.take(v)})
 
-    links = rows.groupBy("key", "g", "p").applyInArrow(compare, f"x {kind}, y {kind}")
+    seen = rows.join(of_texts(table, rows, "n", "bits"), "k").groupBy("key", "g", "p")
+    near = through_table(seen.applyInArrow(look, rows.select("key", "g", "p", "at", "k", "label").schema), "near-looked")
+    links = near.join(of_texts(table, near, "ws"), "k").groupBy("key", "g", "p").applyInArrow(compare, f"x {kind}, y {kind}")
     return links.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def occurrences(ws: list[np.ndarray]) -> np.ndarray:
-    """A matrix with one row per text, such that the product of two rows is at least the number of words they have in common, with repeats.
-
-    Words, told apart by their rank among equal ones, are hashed into bins; column (t, bin) says whether a text
-    has more than t words there, so that equal columns add up to the lesser of two counts.
-    """
-    width = min(BINS, 1 << int(np.ceil(np.log2(4 * max(1, *map(len, ws))))))
-    of = np.repeat(np.arange(len(ws)), [len(w) for w in ws]).astype(np.int64)
-    words_ = np.concatenate(ws).astype(np.int64)
-    order = np.lexsort((words_, of))
-    place, first = np.arange(len(order)), np.ones(len(order), bool)
-    first[1:] = (words_[order][1:] != words_[order][:-1]) | (of[order][1:] != of[order][:-1])
-    rank = place - np.maximum.accumulate(np.where(first, place, 0))
-    bin_ = (mix(words_[order].astype(np.uint64) * np.uint64(3) + rank.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(width - 1)).astype(np.int64)
-    counts = np.bincount(of[order] * width + bin_, minlength=len(ws) * width).reshape(len(ws), width)
-    return np.concatenate([(counts > t).astype(np.float32) for t in range(int(counts.max()))], axis=1)
-
-
 def components(links: DataFrame) -> DataFrame:
     """(k, label): for each id in links (a, b) the smallest id connected to it.
 
@@ -467,23 +509,31 @@ def table_bytes(df: DataFrame) -> int:
     return sum(folder_bytes(df.sparkSession, folder) for folder in {f.rpartition("/")[0] for f in df.inputFiles()})
 
 
-def words_of(table: DataFrame, rows: DataFrame) -> DataFrame:
-    """(k, ws), once for each k of `rows`, from the sketch table."""
-    return table.select("k", "ws").join(rows.select("k").distinct(), "k", "left_semi").dropDuplicates(["k"])
+def of_texts(table: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+    """(k and some columns), once for each k of `rows`, from the sketch table: broadcast if it is small."""
+    ids = rows.select("k").distinct()
+    if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
+    out = through_table(table.select("k", *columns).join(ids, "k", "left_semi").dropDuplicates(["k"]), "near-texts")
+    return F.broadcast(out) if table_bytes(out) <= BROADCAST_BYTES else out
+
+
+def with_both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """Pairs (a, b) with a column of the sketch table for either."""
+    ends = pairs.select(F.col("a").alias("k")).union(pairs.select("b"))
+    of = of_texts(table, ends, column)
+    for side in ("a", "b"):
+        pairs = pairs.join(of.select(F.col("k").alias(side), F.col(column).alias(f"{column}_{side}")), side)
+    return pairs
 
 
 def check_pairs(pairs: DataFrame, table: DataFrame, least: float) -> DataFrame:
-    """The links among pairs (a, b), with their words from the sketch table."""
-    ids = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
-    if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
-    texts = through_table(table.select("k", "ws").join(ids, "k", "left_semi").dropDuplicates(["k"]), "near-texts")
-    said = F.broadcast(texts) if table_bytes(texts) <= BROADCAST_BYTES else texts
-    both = pairs.join(said.select(F.col("k").alias("a"), F.col("ws").alias("wa")), "a").join(said.select(F.col("k").alias("b"), F.col("ws").alias("wb")), "b")
+    """The links (a, b) among pairs (a, b, n: the longer length): those that bitmaps don't rule out are aligned."""
+    most = F.floor(F.col("n") * (1 - least) + 1e-9)
+    sifted = through_table(with_both(pairs, table, "bits").where(lacking("bits_a", "bits_b") <= most).select("a", "b"), "near-sifted")
+    both = with_both(sifted, table, "ws").select("a", "b", "ws_a", "ws_b")
     with settings(pairs.sparkSession, PAIR_BATCH):
-        links = through_table(verify(both.select("a", "b", "wa", "wb"), least), "near-verified")
-    drop_table(texts)
-    return links
+        return through_table(verify(both, least).select("a", "b"), "near-verified")
 
 
 def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = SIMILARITY, count_links: bool = True) -> DataFrame:
@@ -520,16 +570,16 @@ def _classes(docs: DataFrame, text: str, key: str, least: float, count_links: bo
     small, large = buckets(bands)
     if count_links:
         pairs = through_table(ordered_pairs(small_pairs(small), least), "near-pairs")
-        links = check_pairs(pairs, table, least).select("a", "b").unionByName(block_links(large, words_of(table, large), None, least)).distinct()
+        links = check_pairs(pairs, table, least).unionByName(block_links(large, table, None, least)).distinct()
         links = through_table(links, "near-links")
     else:
         pairs = through_table(candidates(small, large, least), "near-pairs")
-        links = check_pairs(pairs, table, least).select("a", "b")
+        links = check_pairs(pairs, table, least)
         if not large.isEmpty():
             # hubs of single buckets, then all that still lie in different classes
             more = through_table(more_candidates(large, components(links), pairs, least), "near-pairs")
-            links = links.unionByName(check_pairs(more, table, least).select("a", "b"))
-            links = links.unionByName(through_table(block_links(large, words_of(table, large), components(links), least), "near-links"))
+            links = links.unionByName(check_pairs(more, table, least))
+            links = links.unionByName(through_table(block_links(large, table, components(links), least), "near-links"))
     degree = links.select(F.col("a").alias("rep")).unionAll(links.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     if links.isEmpty():
         named = member.select("k", F.col("rep").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))

@@ -321,11 +321,19 @@ def test_common_runs_and_words_against_counters():
     runs = lambda w, q: collections.Counter(tuple(w[i : i + q].tolist()) for i in range(len(w) - q + 1))
     for q in (1, 3):
         assert near.common_runs(pairs, q).tolist() == [sum((runs(a, q) & runs(b, q)).values()) for a, b in pairs]
-    for a, b in pairs:
-        if len(a) and len(b):
-            bins = near.occurrences([a, b])
-            assert bins[0] @ bins[1] >= sum((runs(a, 1) & runs(b, 1)).values())
-            assert bins[0].sum() == len(a) and bins[1].sum() == len(b)
+
+
+def test_bitmaps_bound_the_words_that_are_lacking(spark):
+    rnd, rows, want = random.Random(16), [], []
+    for i in range(150):
+        a = [rnd.randrange(1, 60) for _ in range(rnd.randrange(5, 300))]
+        b = [x if rnd.random() > i / 300 else rnd.randrange(1, 60) for x in a] + [1] * rnd.randrange(1 + len(a) // 4)
+        x, y = (collections.Counter(t) for t in (a, b))
+        want.append(max(sum((x - y).values()), sum((y - x).values())))
+        bits, off = near.bitmaps(np.array(a + b, np.uint64), np.array([0, len(a), len(a) + len(b)]))
+        rows.append((i, bits[: off[1]].tolist(), bits[off[1] :].tolist()))
+    got = spark.createDataFrame(rows, "i long, p array<bigint>, q array<bigint>").select("i", near.lacking("p", "q").alias("n")).orderBy("i").collect()
+    assert all(r.n <= w for r, w in zip(got, want, strict=True)) and sum(r.n for r in got) >= 0.6 * sum(want)
 
 
 @pytest.mark.parametrize("low, high", [(0.80, 0.85), (0.85, 0.90), (0.90, 1.0)])
