@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardloom.llm.bytehash import byte_blocks, grams, mix, sequences, words
-from shardloom.llm.exact import folder_bytes, settings
+from shardloom.llm.exact import settings
 from shardloom.llm.shared import map_arrow, scratch, through_table
 
 K = 2  # words in a k-mer
@@ -21,8 +21,9 @@ SIMILARITY = 0.8
 SMALL, BLOCK = 16, 1024
 #: Where links needn't be counted, each text of a large bucket first meets this many hubs of that bucket alone.
 MORE_HUBS = 3
-#: Word lists of up to so many bytes are broadcast to the pairs; beyond, they are joined by shuffle.
-BROADCAST_BYTES = 16 << 20
+#: Words in the longest texts of a length class, as a multiple of those in its shortest; over 1 / SIMILARITY, so that a text
+#: can only be linked within its class or with the next one.
+CLASS = 2.0
 #: Up to so many text ids are broadcast; beyond, they are joined by shuffle.
 BROADCAST_ROWS = 500_000
 #: Rows of two word lists each in an Arrow batch.
@@ -384,8 +385,9 @@ def block_links(large: DataFrame, table: DataFrame, labels: DataFrame | None = N
         sizes = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("key")
         of = through_table(sizes.agg(F.max_by("label", "c").alias("commonest"), F.count(F.lit(1)).alias("labels")).where("labels > 1").drop("labels"), "near-commonest")
         rows, main = rows.join(of, "key"), F.col("label") == F.col("commonest")
-    length = F.floor(F.log("n") / float(-np.log(least)) + 1e-9)
-    homes = F.array(*(F.struct((length + up).alias("g"), (F.when(main, F.lit(0)).otherwise(1) + 2 * up).alias("role")) for up in (0, 1)))
+    step = float(np.log(max(CLASS, 1 / least)))
+    length, reach = F.floor(F.log("n") / step + 1e-9), F.floor((F.log("n") - float(np.log(least))) / step + 1e-9)
+    homes = F.transform(F.sequence(length, F.greatest(length, reach)), lambda g: F.struct(g.alias("g"), (F.when(main, F.lit(0)).otherwise(1) + F.when(g > length, 2).otherwise(0)).alias("role")))
     rows = through_table(rows.select("key", "k", "n", "label", F.explode(homes).alias("h")).select("key", "k", "n", "label", "h.g", "h.role"), "near-roles")
     share = F.greatest(F.lit(1.0 / BLOCK), F.col("n") / float(BLOCK_WORDS))
     counts = rows.groupBy("key", "g").agg(F.array(*(F.ceil(F.coalesce(F.sum(F.when(F.col("role") == r, share)), F.lit(0.0)) - 1e-6) for r in range(4))).alias("blocks"))
@@ -418,31 +420,30 @@ def block_links(large: DataFrame, table: DataFrame, labels: DataFrame | None = N
     rows = through_table(rows.join(useful, ["key", "g", "p"]), "near-dealt")
     forest = labels is not None
 
-    def open_pairs(group: pa.Table, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(texts on one side, texts on the other, matrix of pairs that lengths and classes allow)."""
+    def open_pairs(group: pa.Table, n: np.ndarray, maps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(texts on one side, texts on the other, matrix of pairs that lengths, classes and bitmaps allow)."""
         at = group.column("at").to_numpy()
         x, y = np.flatnonzero(at != SECOND), np.flatnonzero(at != FIRST)
         long = np.maximum(n[x][:, None], n[y])
-        out = long - np.minimum(n[x][:, None], n[y]) <= np.floor((1 - least) * long + 1e-9)
+        most = np.floor((1 - least) * long + 1e-9)
+        out = long - np.minimum(n[x][:, None], n[y]) <= most
         if (at == BOTH).any():
             out &= x[:, None] < y
         if forest:
             label = group.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
             out &= label[x][:, None] != label[y]
+        if out.any():
+            width = 64 * min(map(len, maps))
+            bits = np.stack([np.unpackbits(m.view(np.uint8), bitorder="little").reshape(-1, width).any(0) for m in maps]).astype(np.float32)
+            total = bits.sum(1)
+            out &= np.maximum(total[x][:, None], total[y]) - bits[x] @ bits[y].T <= most
         return x, y, out
 
     def look(group: pa.Table) -> pa.Table:
-        """The rows of texts that may be linked to one of their group, by lengths, classes and bitmaps."""
+        """The rows of texts that may be linked to one of their group."""
         group = group.combine_chunks()
-        n = group.column("n").to_numpy()
-        x, y, out = open_pairs(group, n)
-        if out.any():
-            maps = [np.unpackbits(np.array(w, np.int64).view(np.uint8), bitorder="little") for w in group.column("bits").to_pylist()]
-            width = min(map(len, maps))
-            bits = np.stack([m.reshape(-1, width).any(0) for m in maps]).astype(np.float32)
-            total, both = bits.sum(1), bits[x] @ bits[y].T
-            out &= np.maximum(total[x][:, None], total[y]) - both <= np.floor((1 - least) * np.maximum(n[x][:, None], n[y]) + 1e-9)
-        keep = np.zeros(len(n), bool)
+        x, y, out = open_pairs(group, group.column("n").to_numpy(), [np.array(w, np.int64) for w in group.column("bits").to_pylist()])
+        keep = np.zeros(len(group), bool)
         keep[x[out.any(1)]] = True
         keep[y[out.any(0)]] = True
         return group.select(["key", "g", "p", "at", "k", "label"]).filter(pa.array(keep))
@@ -451,7 +452,9 @@ def block_links(large: DataFrame, table: DataFrame, labels: DataFrame | None = N
         group = group.combine_chunks()
         k = group.column("k").combine_chunks()
         ws = [np.frombuffer(w, "<i4") for w in group.column("ws").to_pylist()]
-        x, y, may = open_pairs(group, np.array([len(w) for w in ws]))
+        sizes = np.array([len(w) for w in ws])
+        bits, off = bitmaps(np.concatenate(ws).astype(np.uint64), np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes))))
+        x, y, may = open_pairs(group, sizes, [bits[a:b] for a, b in zip(off.tolist(), off[1:].tolist(), strict=False)])
         root = list(range(len(ws)))
         if forest:
             first: dict[int, int] = {}
@@ -504,18 +507,12 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def table_bytes(df: DataFrame) -> int:
-    """Bytes of a table of through_table()."""
-    return sum(folder_bytes(df.sparkSession, folder) for folder in {f.rpartition("/")[0] for f in df.inputFiles()})
-
-
 def of_texts(table: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
-    """(k and some columns), once for each k of `rows`, from the sketch table: broadcast if it is small."""
+    """(k and some columns), once for each k of `rows`, from the sketch table."""
     ids = rows.select("k").distinct()
     if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
-    out = through_table(table.select("k", *columns).join(ids, "k", "left_semi").dropDuplicates(["k"]), "near-texts")
-    return F.broadcast(out) if table_bytes(out) <= BROADCAST_BYTES else out
+    return through_table(table.select("k", *columns).join(ids, "k", "left_semi").dropDuplicates(["k"]), "near-texts")
 
 
 def with_both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
