@@ -18,7 +18,7 @@ SKETCHES = 24
 LEAST_WORDS, ONE_EDIT = 5, 9
 SIMILARITY = 0.8
 #: Buckets of up to so many texts are paired in SQL, larger ones in blocks of so many texts.
-SMALL, BLOCK = 16, 1024
+SMALL, BLOCK = 16, 2048
 #: Where links needn't be counted, each text of a large bucket first meets this many hubs of that bucket alone.
 MORE_HUBS = 3
 #: Words in the longest texts of a length class, as a multiple of those in its shortest; over 1 / SIMILARITY, so that a text
@@ -30,12 +30,12 @@ BROADCAST_ROWS = 500_000
 PAIR_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500"}
 NONE = np.uint64(2**64 - 1)
 #: Words in a block of a large bucket, where its texts are long, and pairs aligned at a time there.
-BLOCK_WORDS, ALIGNED = 400_000, 256
+BLOCK_WORDS, ALIGNED = 1_000_000, 256
 #: Bits of a text's bitmap of words: two to four times its words, as a power of two between these.
 FEWEST, MOST = 128, 8192
 NONE = np.uint64(2**64 - 1)
 #: Words in a block of a large bucket, where its texts are long, and pairs aligned at a time there.
-BLOCK_WORDS, ALIGNED = 400_000, 256
+BLOCK_WORDS, ALIGNED = 1_000_000, 256
 #: Bins into which the words of a block's texts are hashed: four times a text's words, as a power of two, at most this many.
 BINS = 4096
 
@@ -218,7 +218,7 @@ def may_be_near(pairs: list[tuple[np.ndarray, np.ndarray]], most: np.ndarray) ->
     keep = np.ones(len(pairs), bool)
     for q in (1, 3):
         at = np.flatnonzero(keep & (long - q + 1 - q * most > 0))
-        upto = np.cumsum(long[at]) // BLOCK_WORDS
+        upto = np.cumsum(long[at]) // 400_000
         for part in range(int(upto[-1]) + 1 if len(at) else 0):
             some = at[upto == part]
             if len(some):
@@ -455,6 +455,12 @@ def block_links(large: DataFrame, table: DataFrame, labels: DataFrame | None = N
         sizes = np.array([len(w) for w in ws])
         bits, off = bitmaps(np.concatenate(ws).astype(np.uint64), np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes))))
         x, y, may = open_pairs(group, sizes, [bits[a:b] for a, b in zip(off.tolist(), off[1:].tolist(), strict=False)])
+        # a pair is aligned in the bucket of the first sketch that it shares; all texts of a bucket have its sketch at the same
+        # place, but in those of short texts that meet by words left out, which take the pairs that share no sketch
+        keys = group.column("keys").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(sizes), -1)
+        place = np.flatnonzero(keys[0] == group.column("key")[0].as_py())
+        for r in range(int(place[0]) if len(place) else SKETCHES):
+            may &= keys[x, r][:, None] != keys[y, r]
         root = list(range(len(ws)))
         if forest:
             first: dict[int, int] = {}
@@ -481,7 +487,7 @@ def block_links(large: DataFrame, table: DataFrame, labels: DataFrame | None = N
 
     seen = rows.join(of_texts(table, rows, "n", "bits"), "k").groupBy("key", "g", "p")
     near = through_table(seen.applyInArrow(look, rows.select("key", "g", "p", "at", "k", "label").schema), "near-looked")
-    links = near.join(of_texts(table, near, "ws"), "k").groupBy("key", "g", "p").applyInArrow(compare, f"x {kind}, y {kind}")
+    links = near.join(of_texts(table, near, "ws", "keys"), "k").groupBy("key", "g", "p").applyInArrow(compare, f"x {kind}, y {kind}")
     return links.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
