@@ -19,8 +19,6 @@ LEAST_WORDS, ONE_EDIT = 5, 9
 SIMILARITY = 0.8
 #: Buckets of up to so many texts are paired in SQL, larger ones in blocks of so many texts.
 SMALL, BLOCK = 16, 2048
-#: Where links needn't be counted, each text of a large bucket first meets this many hubs of that bucket alone.
-MORE_HUBS = 3
 #: Words in the longest texts of a length class, as a multiple of those in its shortest; over 1 / SIMILARITY, so that a text
 #: can only be linked within its class or with the next one.
 CLASS = 2.0
@@ -323,12 +321,11 @@ def ordered_pairs(pairs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     return pairs.where(near & (F.col("x") != F.col("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), long.alias("n")).distinct()
 
 
-def to_hubs(large: DataFrame, ranks: list, extra: list[str]) -> DataFrame:
-    """Each row of a large bucket with the bucket's first text by each rank, as (x, nx, y, ny) and the columns `extra` of both."""
-    hub = lambda r: F.max(F.struct(r.alias("r"), F.struct(F.col("k").alias("y"), F.col("n").alias("ny"), *(F.col(e).alias(f"{e}y") for e in extra)).alias("h")))["h"]
+def to_hubs(large: DataFrame, ranks: list) -> DataFrame:
+    """Each row of a large bucket with the bucket's first text by each rank, as (x, nx, y, ny)."""
+    hub = lambda r: F.max(F.struct(r.alias("r"), F.struct(F.col("k").alias("y"), F.col("n").alias("ny")).alias("h")))["h"]
     hubs = through_table(large.groupBy("key").agg(F.array(*(hub(r) for r in ranks)).alias("hubs")), "near-hubs")
-    out = large.join(hubs, "key").select(F.col("k").alias("x"), F.col("n").alias("nx"), *(F.col(e).alias(f"{e}x") for e in extra), F.explode("hubs").alias("h"))
-    return out.select("x", "nx", *(f"{e}x" for e in extra), "h.*")
+    return large.join(hubs, "key").select(F.col("k").alias("x"), F.col("n").alias("nx"), F.explode("hubs").alias("h")).select("x", "nx", "h.*")
 
 
 def small_pairs(small: DataFrame) -> DataFrame:
@@ -345,17 +342,7 @@ def candidates(small: DataFrame, large: DataFrame, least: float = SIMILARITY) ->
     same one in all buckets of a family. So pairs stay proportional to texts.
     """
     ranks = [F.struct("central", F.xxhash64("k"))] + [F.struct(F.xxhash64("k", F.lit(i))) for i in (1, 2)]
-    return ordered_pairs(small_pairs(small).unionByName(to_hubs(large, ranks, [])), least)
-
-
-def more_candidates(large: DataFrame, labels: DataFrame, tried: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Pairs for texts of large buckets that aren't yet in the class of others they meet there.
-
-    Hubs now differ from bucket to bucket; pairs within a class, or tried before, are left out.
-    """
-    known = through_table(large.join(labels, "k", "left").withColumn("label", F.coalesce("label", "k")), "near-known")
-    ranks = [F.struct(F.xxhash64("key", "k", F.lit(i))) for i in range(MORE_HUBS)]
-    return ordered_pairs(to_hubs(known, ranks, ["label"]).where("labelx <> labely"), least).join(tried, ["a", "b"], "left_anti")
+    return ordered_pairs(small_pairs(small).unionByName(to_hubs(large, ranks)), least)
 
 
 #: Roles of a large bucket's rows in one length class, as places in their list: rows of the class or of the next shorter
@@ -579,9 +566,7 @@ def _classes(docs: DataFrame, text: str, key: str, least: float, count_links: bo
         pairs = through_table(candidates(small, large, least), "near-pairs")
         links = check_pairs(pairs, table, least)
         if not large.isEmpty():
-            # hubs of single buckets, then all that still lie in different classes
-            more = through_table(more_candidates(large, components(links), pairs, least), "near-pairs")
-            links = links.unionByName(check_pairs(more, table, least))
+            # all that still lie in different classes
             links = links.unionByName(through_table(block_links(large, table, components(links), least), "near-links"))
     degree = links.select(F.col("a").alias("rep")).unionAll(links.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     if links.isEmpty():
