@@ -577,12 +577,12 @@ def tx_atomic_batch(spark, d):
 
 @query(
     "tx_guard_mismatch",
-    "with g as (select o_orderkey % 500 as tx, o_orderkey as step, o_custkey as pk, case when o_orderkey % 50 = 0 then 'NONE' else c_mktsegment end as expected from orders left join customer on o_custkey = c_custkey where o_orderkey < 5000) "
+    "with g as (select o_orderkey // 8 as tx, o_orderkey as step, o_custkey as pk, case when o_orderkey % 50 = 0 then 'NONE' else c_mktsegment end as expected from orders left join customer on o_custkey = c_custkey) "
     "select tx, min(case when c.c_mktsegment = expected then null else step end) as first_mismatch, min(case when c.c_mktsegment = expected then null else step end) is null as committed from g left join customer c on g.pk = c.c_custkey group by tx",
 )
 def tx_guard_mismatch(spark, d):
-    o, c = load(spark, d, "orders").where("o_orderkey < 5000"), load(spark, d, "customer")
-    g = o.join(c, o.o_custkey == c.c_custkey, "left").select((F.col("o_orderkey") % 500).alias("tx"), F.col("o_orderkey").alias("step"), F.col("o_custkey").alias("pk"), F.when(F.col("o_orderkey") % 50 == 0, "NONE").otherwise(F.col("c_mktsegment")).alias("expected"))
+    o, c = load(spark, d, "orders"), load(spark, d, "customer")
+    g = o.join(c, o.o_custkey == c.c_custkey, "left").select(F.floor(F.col("o_orderkey") / 8).alias("tx"), F.col("o_orderkey").alias("step"), F.col("o_custkey").alias("pk"), F.when(F.col("o_orderkey") % 50 == 0, "NONE").otherwise(F.col("c_mktsegment")).alias("expected"))
     return M.guard_results(c, g, "c_custkey", "c_mktsegment")
 
 
