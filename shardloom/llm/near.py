@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -442,12 +444,19 @@ def block_links(large: DataFrame, table: DataFrame, labels: DataFrame | None = N
         sizes = np.array([len(w) for w in ws])
         bits, off = bitmaps(np.concatenate(ws).astype(np.uint64), np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes))))
         x, y, may = open_pairs(group, sizes, [bits[a:b] for a, b in zip(off.tolist(), off[1:].tolist(), strict=False)])
-        # a pair is aligned in the bucket of the first sketch that it shares; all texts of a bucket have its sketch at the same
-        # place, but in those of short texts that meet by words left out, which take the pairs that share no sketch
+        # a pair is aligned in the bucket of one sketch that it shares, the first from a place that depends on the pair, so that
+        # pairs which meet in many buckets are spread over them. All texts of a bucket have its sketch at the same place, but in
+        # those of short texts that meet by words left out, which take the pairs that share no sketch
         keys = group.column("keys").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(sizes), -1)
         place = np.flatnonzero(keys[0] == group.column("key")[0].as_py())
-        for r in range(int(place[0]) if len(place) else SKETCHES):
-            may &= keys[x, r][:, None] != keys[y, r]
+        pairs = np.argwhere(may)
+        u, v = x[pairs[:, 0]], y[pairs[:, 1]]
+        mark = np.array([zlib.crc32(w) for w in ws])
+        here, turn = np.ones(len(u), bool), mark[u] ^ mark[v]
+        own = (place[0] - turn) % SKETCHES if len(place) else np.full(len(u), SKETCHES)
+        for r in range(SKETCHES):
+            here &= (keys[u, r] != keys[v, r]) | ((r - turn) % SKETCHES >= own)
+        pairs = np.stack((u[here], v[here]), axis=1)
         root = list(range(len(ws)))
         if forest:
             first: dict[int, int] = {}
@@ -459,9 +468,9 @@ def block_links(large: DataFrame, table: DataFrame, labels: DataFrame | None = N
                 i = root[i]
             return i
 
-        out, todo = [], np.argwhere(may)
+        out, todo = [], pairs
         while len(todo):
-            some = [(x[u], y[v]) for u, v in todo[:ALIGNED].tolist()]
+            some = todo[:ALIGNED].tolist()
             todo = todo[ALIGNED:]
             some = [(i, j) for i, j in some if not forest or find(i) != find(j)]
             found = similar([(ws[i], ws[j]) for i, j in some], least) if some else []
