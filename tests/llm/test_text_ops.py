@@ -494,6 +494,23 @@ def test_exact_groups_of_odd_tables(spark):
     assert got == [("5", "5", 3, True), ("5", "5", 3, True), ("6", "6", 1, True), ("None", "5", 3, False), ("None", "None", 1, True)]
 
 
+@pytest.mark.parametrize("keys", [["b", "a", "c", None], [-(2**63), 5, 2**63 - 1, None]])
+def test_exact_groups_take_any_ordered_key(spark, keys):
+    kind = "string" if isinstance(keys[0], str) else "long"
+    rows = [(k, t) for k, t in zip(keys, ["x y", "xy", " x y", "xy  z z z"], strict=True)] + [(keys[1], "q"), (None, "q ")]
+    got = exact_groups(spark.createDataFrame(rows, f"doc_id {kind}, text string")).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in got if r.group_size == 3} == {(k, keys[2], 3) for k in keys[:3]}
+    assert {(r.doc_id, r.keep_id) for r in got if r.group_size == 2} == {(keys[1], None), (None, None)}
+
+
+def test_exact_groups_meet_rows_of_former_calls(spark, tmp_path):
+    state = str(tmp_path / "state")
+    first = exact_groups(docs(spark, ["a b", "c", "ab "]), state=state).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in first} == {(0, 0, 2), (2, 0, 2), (1, 1, 1)}
+    weak = exact_groups(docs(spark, ["c", " a  b ", "e"], first=10), state=state).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in weak} == {(0, 11, 3), (2, 11, 3), (11, 11, 3), (1, 1, 2), (10, 1, 2), (12, 12, 1)}
+
+
 # -- 2: licences -----------------------------------------------------------------------------------
 
 
