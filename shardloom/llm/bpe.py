@@ -226,6 +226,7 @@ class BpeCodec:
         self._first = next(iter(self.t.special), None)
         self._ids: dict[str, bytes] = {}
         self._runs: dict[str, bytes] = {}
+        self._counts: dict[str, np.ndarray] = {}
         self._fit_memo: dict[tuple[int, int], bool] = {}
         self.decimal = [str(i) for i in range(len(self.t.bytes_of))]
 
@@ -296,6 +297,27 @@ class BpeCodec:
         """Tokens of word[:j] for j = 0 ... len(word), for one pretoken."""
         return np.array(self._long(word)[1], np.int32)
 
+    def prefix_counts_of(self, pieces: list[str]) -> list[np.ndarray]:
+        """For each pretoken the tokens of its every prefix, from 0 bytes to all: stored, so that nothing is run twice."""
+        new = set(pieces).difference(self._counts)
+        if len(self._counts) + len(new) > CACHE:
+            self._counts.clear()
+            new = set(pieces)
+        for s in [s for s in self.t.special if s in new]:
+            self._counts[s] = np.concatenate((np.zeros(1, np.int32), np.ones(len(s.encode()), np.int32)))
+            new.discard(s)
+        coded = sorted(((w.encode(), w) for w in new), key=lambda x: -len(x[0]))
+        n_long = sum(len(raw) > LONG for raw, _ in coded)
+        for raw, w in coded[:n_long]:
+            self._counts[w] = self.prefix_counts(raw)
+        for a in range(n_long, len(coded), 20_000):
+            part = coded[a : a + 20_000]
+            _, count = self._many([raw for raw, _ in part])
+            count = np.ascontiguousarray(count.T)
+            for i, (raw, w) in enumerate(part):
+                self._counts[w] = count[i, : len(raw) + 1].copy()
+        return [self._counts[p] for p in pieces]
+
     def _encode_new(self, words: list[str]) -> None:
         """Puts the ids of these pretokens (as little-endian uint32 bytes) in the map."""
         coded = [w.encode() for w in words]
@@ -377,17 +399,22 @@ class BpeCodec:
         """The text of ids, special ones included; bytes that aren't UTF-8 become U+FFFD."""
         return b"".join(map(self.t.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
-    def pieces_counts(self, texts: list[str | None]) -> list[tuple[list[str], np.ndarray]]:
-        """For each text its pretokens and the number of tokens up to the end of each."""
-        out = []
+    def runs(self, texts: list[str | None]):
+        """For each text the runs that `_split` gives and their pretokens, a block of texts at a time."""
         for block in blocks(texts):
-            pieces = [self.pretokens(x) if x else [] for x in block]
-            self.prepare([w for p in pieces for w in p])
-            out += [(p, np.cumsum([len(self._ids[w]) // 4 for w in p], dtype=np.int64)) for p in pieces]
-        return out
+            parts = [self._split(x) if x else [] for x in block]
+            new = [r for r in set(itertools.chain.from_iterable(parts)) if r not in self.t.special]
+            found = dict(zip(new, map(_find if _ODD.search("".join(new)) else _LATIN.findall, new), strict=True))
+            yield parts, found
 
     def count(self, texts: list[str | None]) -> list[int]:
-        return [len(raw) // 4 for raw in self.encode_raw(texts)]
+        """Tokens of each text: the last prefix counts of its pretokens, added up."""
+        out = []
+        for parts, found in self.runs(texts):
+            totals = dict.fromkeys(self.t.special, 1)
+            totals.update((r, sum(int(c[-1]) for c in self.prefix_counts_of(p))) for r, p in found.items())
+            out += [sum(map(totals.__getitem__, p)) for p in parts]
+        return out
 
 
 def blocks(texts: list[str | None], chars: int = 1_000_000):
@@ -418,4 +445,5 @@ def forget() -> None:
     for c in _CODECS.values():
         c._ids.clear()
         c._runs.clear()
+        c._counts.clear()
         c._fit_memo.clear()

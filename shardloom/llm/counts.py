@@ -14,15 +14,16 @@ from shardloom.llm.shared import map_arrow
 
 
 class PrefixCounts:
-    """Token counts of all prefixes of one text's encoding.
+    """Token counts of all prefixes of one text's encoding, stored once.
 
-    `piece_counts[i]` tokens cover the first i + 1 pretokens; within a pretoken the counts come from the
-    codec's dynamic programme, which has one for every byte. Both come from one pass over the text.
+    `inner[i][j]` tokens cover the first j bytes of pretoken i, from the codec's dynamic programme; `counts[i]`
+    tokens cover the first i + 1 pretokens. Totals, prefixes and budgets are read from them.
     """
 
-    def __init__(self, c: BpeCodec, pieces: list[str], piece_counts: np.ndarray):
-        self.c, self.pieces, self.counts = c, pieces, piece_counts
-        self.ends = np.cumsum([len(p.encode()) for p in pieces], dtype=np.int64)
+    def __init__(self, pieces: list[str], inner: list[np.ndarray]):
+        self.pieces, self.inner = pieces, inner
+        self.counts = np.cumsum([c[-1] for c in inner], dtype=np.int64)
+        self.ends = np.cumsum([len(c) - 1 for c in inner], dtype=np.int64)
 
     @property
     def total(self) -> int:
@@ -32,27 +33,32 @@ class PrefixCounts:
         """Tokens that encode the first `byte` bytes, when the text is cut there and its pretokens stay as they are."""
         i = bisect.bisect_right(self.ends, byte)
         before, begin = (int(self.counts[i - 1]), int(self.ends[i - 1])) if i else (0, 0)
-        if i == len(self.pieces) or byte == begin:
-            return before
-        if self.pieces[i] in self.c.t.special:
-            return before + 1
-        return before + int(self.c.prefix_counts(self.pieces[i].encode())[byte - begin])
+        return before + (int(self.inner[i][byte - begin]) if i < len(self.inner) else 0)
 
     def cut(self, budget: int) -> int:
-        """The largest number of leading bytes, ending at a pretoken's end, that takes at most `budget` tokens."""
+        """The largest number of leading bytes, ending between characters, that takes at most `budget` tokens by `at`."""
         i = bisect.bisect_right(self.counts, budget)
-        return int(self.ends[i - 1]) if i else 0
+        before, begin = (int(self.counts[i - 1]), int(self.ends[i - 1])) if i else (0, 0)
+        if i == len(self.inner):
+            return begin
+        raw = self.pieces[i].encode()
+        fits = np.flatnonzero(self.inner[i][: len(raw)] <= budget - before)
+        whole = [j for j in fits[::-1].tolist() if j == 0 or raw[j] & 0xC0 != 0x80]
+        return begin + whole[0] if whole else begin
 
 
 def prefix_counts(c: BpeCodec, text: str | None) -> PrefixCounts:
-    return PrefixCounts(c, *c.pieces_counts([text])[0])
+    pieces = c.pretokens(text) if text else []
+    return PrefixCounts(pieces, c.prefix_counts_of(pieces))
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, budgets: tuple[int, ...] = (), text: str = "text", key: str = "doc_id") -> DataFrame:
     """Exact token counts of whole texts: (key, n_bytes, n_tokens, and cut_<b> for each budget b).
 
-    cut_<b> is the largest number of leading bytes of UTF-8, ending at a pretoken's end, that fits b tokens.
-    Null and empty texts count 0. Repeated rows give repeated rows; other columns don't matter. No shuffle.
+    Totals are the last of the stored prefix counts of a text's pretokens. cut_<b> is the largest number of
+    leading bytes of UTF-8, ending between characters, that fits b tokens, with pretokens as in the whole text.
+    Null and empty texts count 0. Repeated rows give repeated rows, an empty table none; other columns don't
+    matter. No shuffle.
     """
     kind = docs.schema[key].dataType.simpleString()
 
@@ -64,7 +70,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, budgets: tuple[int, ...] = ()
             for block in blocks(batch.column(1).to_pylist()):
                 n_bytes = [len(x.encode()) if x else 0 for x in block]
                 if budgets:
-                    all_counts = [PrefixCounts(c, *pc) for pc in c.pieces_counts(block)]
+                    all_counts = [prefix_counts(c, x) for x in block]
                     n, cuts = [p.total for p in all_counts], [[p.cut(b) for p in all_counts] for b in budgets]
                 else:
                     n, cuts = c.count(block), []

@@ -108,6 +108,7 @@ def test_prefix_counts_answer_budgets_without_encoding_again(spark, sf, library)
             cut = p.cut(budget)
             head = raw[:cut].decode()
             assert p.at(cut) <= budget and (budget < p.total or cut == len(raw))
+            assert all(p.at(j) > budget for j in range(cut + 1, min(len(raw), cut + 300)) if j in p.ends or raw[j] & 0xC0 != 0x80 and j < p.ends[np.searchsorted(p.ends, cut, side="right")])
             assert len(library.encode(head, add_special_tokens=False).ids) <= budget or head != t
     word = b"internationalisation"
     assert c.prefix_counts(word).tolist() == [len(c.encode(word[:j].decode())) for j in range(len(word) + 1)]
@@ -120,6 +121,15 @@ def test_counts(spark, library):
         assert got[i].cut_3 <= got[i].n_bytes
 
 
+def test_counts_of_one_long_pretoken_and_odd_tables(spark, library):
+    c = BpeCodec(vocabulary())
+    p = prefix_counts(c, "a" * 3000)
+    assert p.total == len(library.encode("a" * 3000, add_special_tokens=False).ids) and 0 < p.cut(5) < 3000 and p.at(p.cut(5)) <= 5
+    assert count_tokens(docs(spark, []), vocabulary()).count() == 0
+    rows = spark.createDataFrame([(1, "a b", 7), (1, "a b", 8), (None, None, 9)], "doc_id long, text string, n_tokens long")
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in count_tokens(rows, vocabulary()).collect()) == [(0, 0), (1, 2), (1, 2)]
+
+
 # -- 6: directly addressable codes -----------------------------------------------------------------
 
 
