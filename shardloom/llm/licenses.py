@@ -161,15 +161,17 @@ def licence_findings(docs: DataFrame, text: str = "text", key: str = "doc_id") -
     """One row per paragraph that is a licence notice: (key, paragraph, family, score, template, coverage, confirmed).
 
     A paragraph is a line, or several lines between blank ones: these are scored as a whole too, which gives a
-    row only if it confirms a family that none of the lines alone does (a notice of wrapped lines).
-    `paragraph` is the number of the (first) line from 0. Every paragraph is scored.
+    row only if it confirms a family that none of the lines alone does (a notice of wrapped lines); marks of
+    comments are no words. `paragraph` is the number of the (first) line from 0. Every paragraph of every length
+    is scored; an empty table gives no rows.
     `score` is the calibrated chance of `family`. A family stands if its chance is at least CERTAIN and
     one of its templates has at least COVERED of its bigrams in the paragraph; `template` is the number
     of the best one. A likely notice for which either fails is of family `unknown`. Null and empty texts
     give no rows; of rows with equal key and text each gives its own.
     """
     spark, model = docs.sparkSession, fit_licences()
-    row = ("k", "block", "paragraph", "whole", "line", "times")
+    # a line's text is left behind once its n-grams are made; rows are told apart by its hash
+    row = ("k", "block", "paragraph", "whole", "id", "times")
     pieces = docs.select(F.col(key).alias("k"), F.split(text, r"\n[ \t\r]*(?=\n)").alias("ps")).withColumn("sizes", F.expr(r"transform(ps, x -> size(split(x, '\n')))"))
     starts = F.expr("aggregate(sizes, array(0), (acc, x) -> concat(acc, array(element_at(acc, -1) + x)))")
     pieces = pieces.withColumn("starts", starts).select("k", F.explode(F.expr("transform(ps, (x, i) -> struct(starts[i] as block, x as piece))")).alias("p")).select("k", "p.*")
@@ -178,23 +180,26 @@ def licence_findings(docs: DataFrame, text: str = "text", key: str = "doc_id") -
     lines = pieces.select("k", "block", F.explode(F.expr(f"concat({alone}, {whole})")).alias("r")).select("k", "block", "r.*").where(F.trim("line") != "")
     # equal lines of one key are scored once and counted; the number of a line is taken up again at the end
     lines = lines.groupBy("k", "block", "paragraph", "whole", "line").agg(F.count(F.lit(1)).alias("times"))
-    words = lines.withColumn("ws", F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0)))
+    words = lines.withColumns({"id": F.xxhash64("line"), "ws": F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0))})
     classes = range(len(model.names))
-    weights = spark.createDataFrame([(g, [float(x) for x in w]) for g, w in sorted(model.weights.items())], "gram string, w array<double>")
+    sizes = [(f, i, sorted(_bigrams(word_list(t)))) for f, all_t in TEMPLATES.items() for i, t in enumerate(all_t)]
+    marked = {g for _, _, ts in sizes for g in ts}
+    zero = np.zeros(len(model.names))
+    known = sorted(model.weights.keys() | marked)
+    weights = spark.createDataFrame([(g, [float(x) for x in model.weights.get(g, zero)], g in marked) for g in known], "gram string, w array<double>, marked boolean")
     # a paragraph without any n-gram of the model is of the class with the greatest bias: left out here where that is `none`
     how = "inner" if model.names[int(np.argmax(model.bias))] == NONE else "left"
     hits = words.select(*row, F.explode_outer(_grams(F.col("ws"), 1, N)).alias("gram")).join(F.broadcast(weights), "gram", how)
-    logits = hits.groupBy(*row).agg(*(((F.coalesce(F.sum(F.col("w")[c]), F.lit(0.0)) + float(model.bias[c])) / model.temperature).alias(f"z{c}") for c in classes))
+    said = F.collect_set(F.when(F.col("marked"), F.col("gram"))).alias("said")
+    logits = hits.groupBy(*row).agg(said, *(((F.coalesce(F.sum(F.col("w")[c]), F.lit(0.0)) + float(model.bias[c])) / model.temperature).alias(f"z{c}") for c in classes))
     top = F.greatest(*(F.col(f"z{c}") for c in classes))
     total = functools.reduce(lambda a, b: a + b, [F.exp(F.col(f"z{c}") - top) for c in classes])
     best = functools.reduce(lambda acc, c: acc.when(F.col(f"z{c}") == top, F.lit(model.names[c])), classes, F)
-    guess = logits.select(*row, best.alias("guess"), F.round(1 / total, 6).alias("score")).where(F.col("guess") != NONE)
-    grams = [(f, i, g, len(ts)) for f, all_t in TEMPLATES.items() for i, t in enumerate(all_t) for ts in [sorted(_bigrams(word_list(t)))] for g in ts]
-    templates = spark.createDataFrame(grams, "family string, template int, gram string, size int")
-    said = guess.select(*row, "guess", "score", F.explode_outer(_grams(F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0)), 2, 2)).alias("gram"))
-    joined = said.join(F.broadcast(templates), (said.gram == templates.gram) & (said.guess == templates.family), "left")
-    shares = joined.groupBy(*row, "guess", "score", "template").agg((F.count("family") / F.max("size")).alias("share"))
-    covered = shares.groupBy(*row, "guess", "score").agg(F.max(F.struct(F.coalesce("share", F.lit(0.0)).alias("share"), (-F.col("template")).alias("minus"))).alias("t"))
+    guess = logits.select(*row, "said", best.alias("guess"), F.round(1 / total, 6).alias("score")).where(F.col("guess") != NONE)
+    templates = spark.createDataFrame([(f, i, ts) for f, i, ts in sizes], "family string, template int, grams array<string>")
+    joined = guess.join(F.broadcast(templates), guess.guess == templates.family, "left")
+    share = F.coalesce(F.size(F.array_intersect("said", "grams")) / F.greatest(F.size("grams"), F.lit(1)), F.lit(0.0))
+    covered = joined.groupBy(*row, "guess", "score").agg(F.max(F.struct(share.alias("share"), (-F.col("template")).alias("minus"))).alias("t"))
     stands = (F.col("guess") != UNKNOWN) & (F.col("score") >= CERTAIN) & (F.col("t.share") >= COVERED)
     named = F.collect_set(F.when(~F.col("whole") & stands, F.col("guess"))).over(Window.partitionBy("k", "block"))
     covered = covered.withColumn("named", named).where(~F.col("whole") | (stands & ~F.array_contains("named", F.col("guess"))))
