@@ -27,6 +27,7 @@ CANDIDATE = (
     r"|(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{0,64}[0-9])[A-Za-z0-9_+/-]{16,}={0,2}"
 )
 BEFORE, AFTER = 48, 24
+CHUNK = 128  # candidates whose places are added up at a time
 #: Words whose letters count as covered by a dictionary; words near other things that look like a secret.
 DICTIONARY = "the and ing tion example sample test dummy your place holder insert change here user admin name file data image index page home version config public static assets build release value number order item account customer string secret password token key client server service update report image content article default hello world foo bar baz qwerty letmein abc".split()
 NEAR_OTHER = "commit|sha-?\\d*|md5|checksum|digest|hash|etag|revision|integrity|uuid|guid|card|phone|order|invoice|isbn|tracking|serial|version|build"
@@ -144,8 +145,8 @@ def secret_findings(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
     `position` counts code points from 0. `score` is the mean over the forest's trees of the share of
     secrets in the leaf; `secret` holds from LEAST up, other rows are findings that the forest takes for
-    false. The value itself doesn't leave the operator. Null and empty texts give no rows; repeated rows
-    give repeated rows. No shuffle: a document's candidates come from its own text.
+    false. The value itself doesn't leave the operator. Null and empty texts and an empty table give no rows;
+    repeated rows give repeated rows; other columns don't matter, and texts of any length are searched whole. No shuffle: a document's candidates come from its own text.
     """
     trees = train_forest(docs.sparkSession)
     cut = docs.where(F.col(text).rlike(CANDIDATE)).select(
@@ -153,15 +154,12 @@ def secret_findings(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     )
     # code points up to each candidate: the text between candidates, and the candidates before
     sizes = F.expr("transform(m, (x, i) -> char_length(p[i]) + if(i > 0, char_length(m[i - 1]), 0))")
-    starts = F.expr("aggregate(sizes, cast(array() as array<int>), (acc, x) -> concat(acc, array(x + if(size(acc) > 0, acc[size(acc) - 1], 0))))")
-    spots = cut.withColumn("sizes", sizes)
-    few = spots.where(F.size("m") <= 64).withColumn("starts", starts).select("k", F.posexplode(F.expr(f"transform(m, (x, i) -> struct(x as v, starts[i] as at, right(p[i], {BEFORE}) as b, left(p[i + 1], {AFTER}) as a))")).alias("i", "c"))
-    # sums over long lists by a window, as building them one by one takes the square of their number
-    many = spots.where(F.size("m") > 64).withColumn("row", F.monotonically_increasing_id()).select(
-        "k", "row", F.posexplode(F.expr(f"transform(m, (x, i) -> struct(x as v, sizes[i] as at, right(p[i], {BEFORE}) as b, left(p[i + 1], {AFTER}) as a))")).alias("i", "c")
-    )
-    many = many.selectExpr("k", "i", "named_struct('v', c.v, 'at', cast(sum(c.at) over (partition by row order by i) as int), 'b', c.b, 'a', c.a) as c")
-    found = few.unionByName(many)
+    # their running sum in two steps, over chunks and within them, so that a text with many candidates costs no square of their number
+    chunks = F.expr(f"transform(sequence(0, greatest(size(sizes) - 1, 0) div {CHUNK}), c -> slice(sizes, c * {CHUNK} + 1, {CHUNK}))")
+    bases = F.expr("aggregate(chunks, array(0), (acc, ch) -> concat(acc, array(element_at(acc, -1) + aggregate(ch, 0, (s, x) -> s + x))))")
+    starts = F.expr("flatten(transform(chunks, (ch, c) -> transform(ch, (x, i) -> bases[c] + aggregate(slice(ch, 1, i + 1), 0, (s, y) -> s + y))))")
+    spots = cut.withColumn("sizes", sizes).withColumn("chunks", chunks).withColumn("bases", bases).withColumn("starts", starts)
+    found = spots.select("k", F.posexplode(F.expr(f"transform(m, (x, i) -> struct(x as v, starts[i] as at, right(p[i], {BEFORE}) as b, left(p[i + 1], {AFTER}) as a))")).alias("i", "c"))
     columns = features(F.col("c.b"), F.col("c.v"), F.col("c.a"))
     scored = found.select("k", "c", *(x.cast("double").alias(n) for n, x in columns))
     names = [n for n, _ in columns]

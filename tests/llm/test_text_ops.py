@@ -555,6 +555,24 @@ def test_licence_scores_equal_the_model(spark):
     assert abs(licenses.licence_findings(docs(spark, [line])).first().score - want) < 1e-5
 
 
+NOTICES = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files, to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software",
+    "gpl-3.0": " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.",
+    "mpl-2.0": "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0.",
+    "apache-2.0": "# Licensed under the Apache License, Version 2.0 (the License);\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0",
+    "bsd-3-clause": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:",
+}
+
+
+def test_wrapped_notices_are_confirmed(spark):
+    texts = [f"Some words before.\n\n{n}\n\nAnd after." for n in NOTICES.values()] + ["word " * 20_000, ""]
+    got = {}
+    for r in licenses.licence_findings(docs(spark, texts)).where("confirmed").collect():
+        got.setdefault(r.doc_id, set()).add(r.family)
+    assert got == {i: {f} for i, f in enumerate(NOTICES)}
+    assert licenses.licence_findings(docs(spark, [])).count() == 0
+
+
 # -- 9: secrets ------------------------------------------------------------------------------------
 
 
@@ -592,6 +610,12 @@ def test_secret_positions_and_odd_texts(spark):
     assert secrets.secret_findings(docs(spark, [])).count() == 0
 
 
+def test_places_of_many_candidates(spark):
+    text = " ".join(f"password={i:05d}abcXYZ" for i in range(700))
+    rows = secrets.secret_findings(spark.createDataFrame([(1, text, "x"), (1, text, "x")], "doc_id long, text string, score string")).collect()
+    assert sorted(r.position for r in rows) == sorted(2 * [m.start(1) for m in re.finditer(r"=(\S+)", text)])
+
+
 def test_trees_as_sql_equal_the_trees(spark):
     trees = secrets.train_forest(spark)
     names = [n for n, _ in secrets.features(F.lit(""), F.lit("x"), F.lit(""))]
