@@ -6,6 +6,7 @@ fixed seed; documents are scored by a join of their paragraphs' n-grams with its
 
 from __future__ import annotations
 
+import collections
 import dataclasses
 import functools
 import random
@@ -90,6 +91,7 @@ PLAIN = [
 N = 3  # n-grams of one to N words
 CERTAIN = 0.6  # least probability of a family
 COVERED = 0.6  # least share of a template's bigrams that confirms it
+GROUPS = 12  # of words, in the bound that spares most paragraphs the whole score
 WORD = r"[a-z0-9][a-z0-9.+]*[a-z0-9]|[a-z0-9]"
 
 
@@ -170,17 +172,16 @@ def licence_findings(docs: DataFrame, text: str = "text", key: str = "doc_id") -
     give no rows; of rows with equal key and text each gives its own.
     """
     spark, model = docs.sparkSession, fit_licences()
-    # a line's text is left behind once its n-grams are made; rows are told apart by its hash
-    row = ("k", "block", "paragraph", "whole", "id", "times")
-    pieces = docs.select(F.col(key).alias("k"), F.split(text, r"\n[ \t\r]*(?=\n)").alias("ps")).withColumn("sizes", F.expr(r"transform(ps, x -> size(split(x, '\n')))"))
+    # a line's text is left behind once its n-grams are made; no shuffle comes before that, so numbers can tell rows apart
+    row = ("id", "k", "block", "paragraph", "whole")
+    pieces = docs.select(F.monotonically_increasing_id().alias("id"), F.col(key).alias("k"), F.split(text, r"\n[ \t\r]*(?=\n)").alias("ps")).withColumn("sizes", F.expr(r"transform(ps, x -> size(split(x, '\n')))"))
     starts = F.expr("aggregate(sizes, array(0), (acc, x) -> concat(acc, array(element_at(acc, -1) + x)))")
-    pieces = pieces.withColumn("starts", starts).select("k", F.explode(F.expr("transform(ps, (x, i) -> struct(starts[i] as block, x as piece))")).alias("p")).select("k", "p.*")
+    pieces = pieces.withColumn("starts", starts).select("id", "k", F.explode(F.expr("transform(ps, (x, i) -> struct(starts[i] as block, x as piece))")).alias("p")).select("id", "k", "p.*")
     alone = r"transform(split(piece, '\n'), (x, i) -> struct(block + i as paragraph, false as whole, x as line))"
     whole = r"if(trim(piece) like '%\n%', array(struct(block + size(split(regexp_extract(piece, '^\\s*', 0), '\n')) - 1 as paragraph, true as whole, piece as line)), array())"
-    lines = pieces.select("k", "block", F.explode(F.expr(f"concat({alone}, {whole})")).alias("r")).select("k", "block", "r.*").where(F.trim("line") != "")
-    # equal lines of one key are scored once and counted; the number of a line is taken up again at the end
-    lines = lines.groupBy("k", "block", "paragraph", "whole", "line").agg(F.count(F.lit(1)).alias("times"))
-    words = lines.withColumns({"id": F.xxhash64("line"), "ws": F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0))})
+    lines = pieces.select("id", "k", "block", F.explode(F.expr(f"concat({alone}, {whole})")).alias("r")).select("id", "k", "block", "r.*").where(F.trim("line") != "")
+    words = lines.select(*row, F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0)).alias("ws"))
+    words = words.where(_margin_bound(F.col("ws"), model) >= 0)
     classes = range(len(model.names))
     sizes = [(f, i, sorted(_bigrams(word_list(t)))) for f, all_t in TEMPLATES.items() for i, t in enumerate(all_t)]
     marked = {g for _, _, ts in sizes for g in ts}
@@ -201,9 +202,9 @@ def licence_findings(docs: DataFrame, text: str = "text", key: str = "doc_id") -
     share = F.coalesce(F.size(F.array_intersect("said", "grams")) / F.greatest(F.size("grams"), F.lit(1)), F.lit(0.0))
     covered = joined.groupBy(*row, "guess", "score").agg(F.max(F.struct(share.alias("share"), (-F.col("template")).alias("minus"))).alias("t"))
     stands = (F.col("guess") != UNKNOWN) & (F.col("score") >= CERTAIN) & (F.col("t.share") >= COVERED)
-    named = F.collect_set(F.when(~F.col("whole") & stands, F.col("guess"))).over(Window.partitionBy("k", "block"))
+    named = F.collect_set(F.when(~F.col("whole") & stands, F.col("guess"))).over(Window.partitionBy("id", "block"))
     covered = covered.withColumn("named", named).where(~F.col("whole") | (stands & ~F.array_contains("named", F.col("guess"))))
-    out = covered.select(
+    return covered.select(
         F.col("k").alias(key),
         "paragraph",
         F.when(stands, F.col("guess")).otherwise(UNKNOWN).alias("family"),
@@ -211,9 +212,29 @@ def licence_findings(docs: DataFrame, text: str = "text", key: str = "doc_id") -
         F.when(stands, -F.col("t.minus")).alias("template"),
         F.round("t.share", 6).alias("coverage"),
         stands.alias("confirmed"),
-        "times",
     )
-    return out.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).drop("_", "times")
+
+
+def _margin_bound(words: Column, model: LicenceModel) -> Column:
+    """At least the most by which any class can beat `none` on a paragraph: below 0 it is of class `none` for sure.
+
+    What an n-gram can add at most is put down to one of its words, without which it can't occur: that which is in
+    the fewest of the model's n-grams. Words are put into a few groups by what they can add, rounded up, so that
+    sizes of intersections are all that is needed.
+    """
+    none = model.names.index(NONE)
+    gain = lambda w: float(max(w[c] - w[none] for c in range(len(w)) if c != none))
+    seen = collections.Counter(w for g in model.weights for w in g.split(" "))
+    adds: dict[str, float] = {}
+    for g, w in model.weights.items():
+        own = min(g.split(" "), key=lambda x: (seen[x], x))
+        adds[own] = adds.get(own, 0.0) + (gain(w) if g == own else max(0.0, gain(w)))
+    rising = sorted((a, w) for w, a in adds.items() if a > 0)
+    out = F.lit(gain(model.bias))
+    for i in range(0, len(rising), max(1, -(-len(rising) // GROUPS))):
+        group = rising[i : i + max(1, -(-len(rising) // GROUPS))]
+        out = out + F.size(F.array_intersect(words, F.array(*(F.lit(w) for _, w in group)))) * F.lit(group[-1][0])
+    return out
 
 
 def _bigrams(words: list[str]) -> set[str]:
