@@ -227,6 +227,7 @@ class BpeCodec:
         self._ids: dict[str, bytes] = {}
         self._runs: dict[str, bytes] = {}
         self._counts: dict[str, np.ndarray] = {}
+        self._totals: dict[str, int] = {}
         self._fit_memo: dict[tuple[int, int], bool] = {}
         self.decimal = [str(i) for i in range(len(self.t.bytes_of))]
 
@@ -399,20 +400,23 @@ class BpeCodec:
         """The text of ids, special ones included; bytes that aren't UTF-8 become U+FFFD."""
         return b"".join(map(self.t.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
-    def runs(self, texts: list[str | None]):
-        """For each text the runs that `_split` gives and their pretokens, a block of texts at a time."""
+    def count(self, texts: list[str | None]) -> list[int]:
+        """Tokens of each text: the last prefix counts of its pretokens, added up. Sums are kept for runs, as ids are."""
+        out, totals = [], self._totals
         for block in blocks(texts):
             parts = [self._split(x) if x else [] for x in block]
-            new = [r for r in set(itertools.chain.from_iterable(parts)) if r not in self.t.special]
-            found = dict(zip(new, map(_find if _ODD.search("".join(new)) else _LATIN.findall, new), strict=True))
-            yield parts, found
-
-    def count(self, texts: list[str | None]) -> list[int]:
-        """Tokens of each text: the last prefix counts of its pretokens, added up."""
-        out = []
-        for parts, found in self.runs(texts):
-            totals = dict.fromkeys(self.t.special, 1)
-            totals.update((r, sum(int(c[-1]) for c in self.prefix_counts_of(p))) for r, p in found.items())
+            new = set(itertools.chain.from_iterable(parts)).difference(totals)
+            if len(totals) + len(new) > CACHE:
+                totals.clear()
+                new = set(itertools.chain.from_iterable(parts))
+            new = [r for r in new if r not in self.t.special]
+            pieces = list(map(_find if _ODD.search("".join(new)) else _LATIN.findall, new))
+            last = [int(c[-1]) for c in self.prefix_counts_of(list(itertools.chain.from_iterable(pieces)))]
+            at = 0
+            for r, p in zip(new, pieces, strict=True):
+                totals[r] = last[at] if len(p) == 1 else sum(last[at : at + len(p)])
+                at += len(p)
+            totals.update(dict.fromkeys(self.t.special, 1))
             out += [sum(map(totals.__getitem__, p)) for p in parts]
         return out
 
@@ -446,4 +450,5 @@ def forget() -> None:
         c._ids.clear()
         c._runs.clear()
         c._counts.clear()
+        c._totals.clear()
         c._fit_memo.clear()
