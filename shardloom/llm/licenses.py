@@ -6,7 +6,6 @@ fixed seed; documents are scored by a join of their paragraphs' n-grams with its
 
 from __future__ import annotations
 
-import collections
 import dataclasses
 import functools
 import random
@@ -91,7 +90,6 @@ PLAIN = [
 N = 3  # n-grams of one to N words
 CERTAIN = 0.6  # least probability of a family
 COVERED = 0.6  # least share of a template's bigrams that confirms it
-GROUPS = 12  # of words, in the bound that spares most paragraphs the whole score
 WORD = r"[a-z0-9][a-z0-9.+]*[a-z0-9]|[a-z0-9]"
 
 
@@ -181,7 +179,6 @@ def licence_findings(docs: DataFrame, text: str = "text", key: str = "doc_id") -
     whole = r"if(trim(piece) like '%\n%', array(struct(block + size(split(regexp_extract(piece, '^\\s*', 0), '\n')) - 1 as paragraph, true as whole, piece as line)), array())"
     lines = pieces.select("id", "k", "block", F.explode(F.expr(f"concat({alone}, {whole})")).alias("r")).select("id", "k", "block", "r.*").where(F.trim("line") != "")
     words = lines.select(*row, F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0)).alias("ws"))
-    words = words.where(_margin_bound(F.col("ws"), model) >= 0)
     classes = range(len(model.names))
     sizes = [(f, i, sorted(_bigrams(word_list(t)))) for f, all_t in TEMPLATES.items() for i, t in enumerate(all_t)]
     marked = {g for _, _, ts in sizes for g in ts}
@@ -215,27 +212,5 @@ def licence_findings(docs: DataFrame, text: str = "text", key: str = "doc_id") -
     )
 
 
-def _margin_bound(words: Column, model: LicenceModel) -> Column:
-    """At least the most by which any class can beat `none` on a paragraph: below 0 it is of class `none` for sure.
-
-    What an n-gram can add at most is put down to one of its words, without which it can't occur: that which is in
-    the fewest of the model's n-grams. Words are put into a few groups by what they can add, rounded up, so that
-    sizes of intersections are all that is needed.
-    """
-    none = model.names.index(NONE)
-    gain = lambda w: float(max(w[c] - w[none] for c in range(len(w)) if c != none))
-    seen = collections.Counter(w for g in model.weights for w in g.split(" "))
-    adds: dict[str, float] = {}
-    for g, w in model.weights.items():
-        own = min(g.split(" "), key=lambda x: (seen[x], x))
-        adds[own] = adds.get(own, 0.0) + (gain(w) if g == own else max(0.0, gain(w)))
-    rising = sorted((a, w) for w, a in adds.items() if a > 0)
-    out = F.lit(gain(model.bias))
-    for i in range(0, len(rising), max(1, -(-len(rising) // GROUPS))):
-        group = rising[i : i + max(1, -(-len(rising) // GROUPS))]
-        out = out + F.size(F.array_intersect(words, F.array(*(F.lit(w) for _, w in group)))) * F.lit(group[-1][0])
-    return out
-
-
 def _bigrams(words: list[str]) -> set[str]:
     return {" ".join(words[i : i + 2]) for i in range(len(words) - 1)}
