@@ -1,4 +1,4 @@
-"""The engine's front door: tables by name, and every route of the API as a method.
+"""The engine's front door: tables by name, and the routes for reads, writes, indexes and moves as methods.
 
 Methods that read give lazy DataFrames; only cursors and reports run a job. Tables are kept routed; a
 write gives a new state by folding its log and replaces the table in the registry, so that earlier
