@@ -90,6 +90,7 @@ PLAIN = [
 N = 3  # n-grams of one to N words
 CERTAIN = 0.6  # least probability of a family
 COVERED = 0.6  # least share of a template's bigrams that confirms it
+BITS = 63  # bits of a number that say which bigrams of templates a paragraph has
 WORD = r"[a-z0-9][a-z0-9.+]*[a-z0-9]|[a-z0-9]"
 
 
@@ -146,15 +147,43 @@ def fit_licences(seed: int = 7, copies: int = 12, epochs: int = 6) -> LicenceMod
     z, y = np.array([x @ w[at] for at, x, _ in held]), np.array([np.argmax(t) for _, _, t in held])
     loss = lambda t: -np.log(np.maximum(activate(z / t)[np.arange(len(y)), y], 1e-12)).mean()
     temperature = float(min(np.geomspace(0.2, 5, 41), key=loss))
+    if names[int(np.argmax(w[len(vocabulary)]))] != NONE:
+        raise ValueError("the model takes a text without known n-grams for a notice")
     return LicenceModel(names, {g: w[i] for g, i in vocabulary.items() if np.any(w[i])}, w[len(vocabulary)], temperature)
 
 
-def _grams(words: Column, low: int, high: int) -> Column:
-    def of(n: int) -> Column:
-        each = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
-        return F.when(F.size(words) >= n, each).otherwise(F.array().cast("array<string>"))
+def _of(hashes: Column, more: Column, n: int) -> Column:
+    """Hashes of the n-grams, from those of the (n - 1)-grams and of the words."""
+    size = F.greatest(F.size(more) - (n - 1), F.lit(0))
+    return F.zip_with(F.slice(hashes, 1, size), F.slice(more, n, size), lambda a, b: F.xxhash64(a, b))
 
-    return F.array_distinct(F.concat(*(of(n) for n in range(low, high + 1))))
+
+def _hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _words(line: Column) -> Column:
+    return _hashes(F.regexp_extract_all(F.lower(line), F.lit(WORD), F.lit(0)))
+
+
+def _hash_of(gram: Column, n: Column) -> Column:
+    """The hash of one n-gram of n words, given as text."""
+    one = _hashes(F.split(gram, " "))
+    two = _of(one, one, 2)
+    return F.when(n == 1, one[0]).when(n == 2, two[0]).otherwise(_of(two, one, 3)[0])
+
+
+def _needed() -> list[str]:
+    """Bigrams of which a text has at least one if it has COVERED of any template's: of n bigrams, k needed, n - k + 1 do.
+
+    Of each template the longest are taken, as they are likely to be rare; which ones changes the cost, not the results.
+    """
+    out = set()
+    for t in (t for all_t in TEMPLATES.values() for t in all_t):
+        grams = sorted(_bigrams(word_list(t)), key=lambda g: (-len(g), g))
+        k = next(k for k in range(len(grams) + 1) if k / len(grams) >= COVERED)
+        out.update(grams[: len(grams) - k + 1])
+    return sorted(out)
 
 
 def licence_findings(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -163,42 +192,56 @@ def licence_findings(docs: DataFrame, text: str = "text", key: str = "doc_id") -
     A paragraph is a line, or several lines between blank ones: these are scored as a whole too, which gives a
     row only if it confirms a family that none of the lines alone does (a notice of wrapped lines); marks of
     comments are no words. `paragraph` is the number of the (first) line from 0. Every paragraph of every length
-    is scored; an empty table gives no rows.
+    is scored, but for lines taken together that lack so many bigrams of each template that none can be
+    confirmed; an empty table gives no rows.
     `score` is the calibrated chance of `family`. A family stands if its chance is at least CERTAIN and
     one of its templates has at least COVERED of its bigrams in the paragraph; `template` is the number
     of the best one. A likely notice for which either fails is of family `unknown`. Null and empty texts
-    give no rows; of rows with equal key and text each gives its own.
+    give no rows; of rows with equal key and text each gives its own. N-grams are told apart by 64-bit hashes.
     """
     spark, model = docs.sparkSession, fit_licences()
-    # a line's text is left behind once its n-grams are made; no shuffle comes before that, so numbers can tell rows apart
+    # a line's text is left behind once its words are hashed; no shuffle comes before that, so numbers can tell rows apart
     row = ("id", "k", "block", "paragraph", "whole")
     pieces = docs.select(F.monotonically_increasing_id().alias("id"), F.col(key).alias("k"), F.split(text, r"\n[ \t\r]*(?=\n)").alias("ps")).withColumn("sizes", F.expr(r"transform(ps, x -> size(split(x, '\n')))"))
     starts = F.expr("aggregate(sizes, array(0), (acc, x) -> concat(acc, array(element_at(acc, -1) + x)))")
-    pieces = pieces.withColumn("starts", starts).select("id", "k", F.explode(F.expr("transform(ps, (x, i) -> struct(starts[i] as block, x as piece))")).alias("p")).select("id", "k", "p.*")
-    alone = r"transform(split(piece, '\n'), (x, i) -> struct(block + i as paragraph, false as whole, x as line))"
-    whole = r"if(trim(piece) like '%\n%', array(struct(block + size(split(regexp_extract(piece, '^\\s*', 0), '\n')) - 1 as paragraph, true as whole, piece as line)), array())"
-    lines = pieces.select("id", "k", "block", F.explode(F.expr(f"concat({alone}, {whole})")).alias("r")).select("id", "k", "block", "r.*").where(F.trim("line") != "")
-    words = lines.select(*row, F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0)).alias("ws"))
+    pieces = pieces.withColumn("starts", starts).select("id", "k", F.explode_outer(F.expr("transform(ps, (x, i) -> struct(starts[i] as block, x as piece))")).alias("p")).select("id", "k", "p.*")
+    needed = spark.createDataFrame([(g,) for g in _needed()], "gram string").select(_hash_of(F.col("gram"), F.lit(2)))
+    needed = F.array(*(F.lit(r[0]) for r in needed.collect()))
+    several = F.expr(r"trim(piece) like '%\n%'")
+    first = F.col("block") + F.expr(r"size(split(regexp_extract(piece, '^\\s*', 0), '\n')) - 1")
+    words = pieces.select("id", "k", "block", several.alias("several"), first.alias("first"), F.transform(F.split("piece", "\n"), _words).alias("ws"))
+    words = words.withColumn("all", F.when(F.col("several"), F.flatten("ws")))
+    whole = F.when(F.arrays_overlap(_of(F.col("all"), F.col("all"), 2), needed), F.array(F.struct(F.col("first").alias("paragraph"), F.lit(True).alias("whole"), F.col("all").alias("ws"))))
+    alone = F.transform("ws", lambda x, i: F.struct((F.col("block") + i).alias("paragraph"), F.lit(False).alias("whole"), x.alias("ws")))
+    lines = words.select("id", "k", "block", F.explode_outer(F.concat(alone, F.coalesce(whole, F.array().cast("array<struct<paragraph:int,whole:boolean,ws:array<bigint>>>")))).alias("r")).select("id", "k", "block", "r.*")
+    pairs = lines.where(F.size("ws") > 0).withColumn("pairs", _of(F.col("ws"), F.col("ws"), 2))
+    grams = pairs.select(*row, F.explode_outer(F.array_distinct(F.concat("ws", "pairs", _of(F.col("pairs"), F.col("ws"), 3)))).alias("gram"))
+    # which bigrams of templates a paragraph has is kept as bits
     classes = range(len(model.names))
-    sizes = [(f, i, sorted(_bigrams(word_list(t)))) for f, all_t in TEMPLATES.items() for i, t in enumerate(all_t)]
-    marked = {g for _, _, ts in sizes for g in ts}
+    marked = {g: i for i, g in enumerate(sorted({g for all_t in TEMPLATES.values() for t in all_t for g in _bigrams(word_list(t))}))}
+    masks = range(len(marked) // BITS + 1)
+    bits = lambda gs: [sum(1 << marked[g] % BITS for g in gs if marked.get(g, -1) // BITS == j) for j in masks]
     zero = np.zeros(len(model.names))
-    known = sorted(model.weights.keys() | marked)
-    weights = spark.createDataFrame([(g, [float(x) for x in model.weights.get(g, zero)], g in marked) for g in known], "gram string, w array<double>, marked boolean")
-    # a paragraph without any n-gram of the model is of the class with the greatest bias: left out here where that is `none`
-    how = "inner" if model.names[int(np.argmax(model.bias))] == NONE else "left"
-    hits = words.select(*row, F.explode_outer(_grams(F.col("ws"), 1, N)).alias("gram")).join(F.broadcast(weights), "gram", how)
-    said = F.collect_set(F.when(F.col("marked"), F.col("gram"))).alias("said")
-    logits = hits.groupBy(*row).agg(said, *(((F.coalesce(F.sum(F.col("w")[c]), F.lit(0.0)) + float(model.bias[c])) / model.temperature).alias(f"z{c}") for c in classes))
+    known = [(g, g.count(" ") + 1, [float(x) for x in model.weights.get(g, zero)], bits([g])) for g in sorted(model.weights.keys() | marked.keys())]
+    weights = spark.createDataFrame(known, "known string, n int, w array<double>, bits array<bigint>").select(_hash_of(F.col("known"), F.col("n")).alias("gram"), "w", "bits")
+    # a paragraph without any n-gram of the model is of the class with the greatest bias, `none`
+    hits = grams.join(F.broadcast(weights), "gram")
+    logits = hits.groupBy(*row).agg(
+        *(F.bit_or(F.col("bits")[j]).alias(f"b{j}") for j in masks),
+        *(((F.sum(F.col("w")[c]) + float(model.bias[c])) / model.temperature).alias(f"z{c}") for c in classes),
+    )
     top = F.greatest(*(F.col(f"z{c}") for c in classes))
     total = functools.reduce(lambda a, b: a + b, [F.exp(F.col(f"z{c}") - top) for c in classes])
     best = functools.reduce(lambda acc, c: acc.when(F.col(f"z{c}") == top, F.lit(model.names[c])), classes, F)
-    guess = logits.select(*row, "said", best.alias("guess"), F.round(1 / total, 6).alias("score")).where(F.col("guess") != NONE)
-    templates = spark.createDataFrame([(f, i, ts) for f, i, ts in sizes], "family string, template int, grams array<string>")
-    joined = guess.join(F.broadcast(templates), guess.guess == templates.family, "left")
-    share = F.coalesce(F.size(F.array_intersect("said", "grams")) / F.greatest(F.size("grams"), F.lit(1)), F.lit(0.0))
-    covered = joined.groupBy(*row, "guess", "score").agg(F.max(F.struct(share.alias("share"), (-F.col("template")).alias("minus"))).alias("t"))
-    stands = (F.col("guess") != UNKNOWN) & (F.col("score") >= CERTAIN) & (F.col("t.share") >= COVERED)
+    guess = logits.select(*row, *(f"b{j}" for j in masks), best.alias("guess"), F.round(1 / total, 6).alias("score")).where(F.col("guess") != NONE)
+
+    def share(sentence: str) -> Column:
+        grams = _bigrams(word_list(sentence))
+        return functools.reduce(lambda a, b: a + b, [F.bit_count(F.col(f"b{j}").bitwiseAND(F.lit(b))) for j, b in enumerate(bits(grams)) if b]) / F.lit(len(grams))
+
+    shares = functools.reduce(lambda acc, f: acc.when(F.col("guess") == f, F.array_max(F.array(*(F.struct(share(t).alias("share"), F.lit(-i).alias("minus")) for i, t in enumerate(TEMPLATES[f]))))), TEMPLATES, F)
+    covered = guess.select(*row, "guess", "score", shares.alias("t")).withColumn("share", F.coalesce("t.share", F.lit(0.0)))
+    stands = (F.col("guess") != UNKNOWN) & (F.col("score") >= CERTAIN) & (F.col("share") >= COVERED)
     named = F.collect_set(F.when(~F.col("whole") & stands, F.col("guess"))).over(Window.partitionBy("id", "block"))
     covered = covered.withColumn("named", named).where(~F.col("whole") | (stands & ~F.array_contains("named", F.col("guess"))))
     return covered.select(
@@ -207,7 +250,7 @@ def licence_findings(docs: DataFrame, text: str = "text", key: str = "doc_id") -
         F.when(stands, F.col("guess")).otherwise(UNKNOWN).alias("family"),
         "score",
         F.when(stands, -F.col("t.minus")).alias("template"),
-        F.round("t.share", 6).alias("coverage"),
+        F.round("share", 6).alias("coverage"),
         stands.alias("confirmed"),
     )
 
