@@ -573,6 +573,46 @@ def test_wrapped_notices_are_confirmed(spark):
     assert licenses.licence_findings(docs(spark, [])).count() == 0
 
 
+def brute_licences(text):
+    """Paragraph numbers, families, scores and shares of one text, by sets of n-grams in plain Python."""
+    m = licenses.fit_licences()
+
+    def judge(part):
+        ws = licenses.word_list(part)
+        z = (m.bias + sum((m.weights[g] for g in licenses.ngrams(ws) if g in m.weights), np.zeros(len(m.bias)))) / m.temperature
+        guess, score = m.names[int(np.argmax(z))], round(float(1 / np.exp(z - z.max()).sum()), 6)
+        two = set(licenses.ngrams(ws, 2))
+        shares = [len(b & two) / len(b) for b in (licenses._bigrams(licenses.word_list(t)) for t in licenses.TEMPLATES.get(guess, []))]
+        share = max(shares, default=0.0)
+        return guess, score, share, guess != licenses.UNKNOWN and score >= licenses.CERTAIN and share >= licenses.COVERED
+
+    out, at = [], 0
+    for piece in re.split(r"\n[ \t\r]*(?=\n)", text):
+        parts, named = piece.split("\n"), set()
+        for i, part in enumerate(parts):
+            guess, score, share, stands = judge(part)
+            if guess != licenses.NONE:
+                out.append((at + i, guess if stands else licenses.UNKNOWN, round(score, 4), round(share, 4)))
+                named |= {guess} if stands else set()
+        if "\n" in piece.strip(" "):
+            guess, score, share, stands = judge(piece)
+            if guess != licenses.NONE and stands and guess not in named:
+                out.append((at + piece[: len(piece) - len(piece.lstrip())].count("\n"), guess, round(score, 4), round(share, 4)))
+        at += len(parts)
+    return out
+
+
+def test_licences_equal_brute_force(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    rows += [(-i - 1, f"Some words before.\n\n{n}\n\nAnd after.\n{n}") for i, n in enumerate(NOTICES.values())]
+    rows += [(-10, "permission is hereby granted\nfree of charge"), (-11, "\n\n \nAll rights reserved.\n"), (-12, "one")]
+    got = licenses.licence_findings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = sorted((k, *x) for k, t in rows if t for x in brute_licences(t))
+    assert [w[:3] for w in want] == sorted((r.doc_id, r.paragraph, r.family) for r in got) and len(want) > 5
+    for w, g in zip(want, sorted((r.doc_id, r.paragraph, r.family, r.score, r.coverage) for r in got)):
+        assert abs(w[3] - g[3]) < 1e-3 and abs(w[4] - g[4]) < 1e-3
+
+
 # -- 9: secrets ------------------------------------------------------------------------------------
 
 
