@@ -43,14 +43,35 @@ def crc_mod(key: Column, by: int) -> Column:
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(by))
 
 
-def bounded_sample(df: DataFrame, key: str, bound: int) -> list:
+#: Bytes of text that a driver collects to fit a model, and the longest text it learns from; documented bounds.
+SAMPLE_BYTES, LONGEST = 64 << 20, 1 << 20
+
+
+def text_bytes(text: str) -> Column:
+    return F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint")
+
+
+def bounded_sample(df: DataFrame, key: str, bound: int, text: str | None = None, by: str | None = None, least: int = 0) -> list:
     """About `bound` rows of df, never over twice as many: those whose key has a small hash; all, if df has no more.
 
+    With `text`, texts over LONGEST bytes are left out and the bound is lowered until SAMPLE_BYTES are expected
+    to hold the sample. With `by`, every value of that column gets its share of the bound, but at least `least`
+    rows where it has as many, which adds up to `least` rows for each value; it must have few values (classes).
     Sorted by hash, so that the same rows come in the same order whatever the partitions.
     """
-    n = df.count()
-    h = F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 40))
-    some = df.withColumn("_h", h)
-    if n > bound:
-        some = some.where(F.col("_h") < int((1 << 40) * bound / n)).limit(2 * bound)
+    if text is not None:
+        df = df.where(text_bytes(text) <= LONGEST)
+    size = text_bytes(text) if text is not None else F.lit(0).cast("bigint")
+    groups = df.groupBy(F.col(by) if by else F.lit(0).alias("_all")).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b")).collect()  # a row for each class
+    n, held = sum(r["n"] for r in groups), sum(r["b"] for r in groups)
+    if not n:
+        return []
+    bound = max(1, min(bound, SAMPLE_BYTES * n // max(1, held)))
+    share = [(r[0], min(1.0, max(bound / n, least / r["n"]))) for r in groups]
+    some = df.withColumn("_h", F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 40)))
+    if any(s < 1 for _, s in share):
+        cut = F.lit(0).cast("bigint")
+        for value, s in share:
+            cut = F.when(F.col(by).eqNullSafe(F.lit(value)) if by else F.lit(True), int((1 << 40) * s)).otherwise(cut)
+        some = some.where(F.col("_h") < cut).limit(2 * (bound + least * len(share)))
     return sorted(some.collect(), key=lambda r: (r["_h"], str(r[key])))

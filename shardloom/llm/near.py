@@ -28,9 +28,6 @@ CLASS = 2.0
 BROADCAST_ROWS = 500_000
 #: Rows of two word lists each in an Arrow batch.
 PAIR_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500"}
-NONE = np.uint64(2**64 - 1)
-#: Words in a block of a large bucket, where its texts are long, and pairs aligned at a time there.
-BLOCK_WORDS, ALIGNED = 1_000_000, 256
 #: Bits of a text's bitmap of words: two to four times its words, as a power of two between these.
 FEWEST, MOST = 128, 8192
 NONE = np.uint64(2**64 - 1)

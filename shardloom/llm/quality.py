@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardloom.llm.bytehash import _CODE, FOLD, IS_WORD, _sums, byte_blocks, mix
-from shardloom.llm.ftrl import Ftrl, activate, bounded_sample, crc_mod
+from shardloom.llm.ftrl import LONGEST, SAMPLE_BYTES, Ftrl, activate, bounded_sample, crc_mod, text_bytes
 from shardloom.llm.shared import map_arrow
 
 BITS = 18
@@ -97,19 +97,37 @@ def fit_quality(rows: list[tuple[str | None, int]], epochs: int = EPOCHS) -> Qua
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str = "text", key: str = "doc_id") -> QualityModel:
-    """Fits on labelled documents whose crc32 of the key as text isn't 0 modulo 5: about `sample` of them."""
+    """Fits on labelled documents whose crc32 of the key as text isn't 0 modulo 5: about `sample` of them.
+
+    Texts over ftrl.LONGEST bytes aren't learned from, and of the sample as many texts, in the order of their
+    keys' hashes, as ftrl.SAMPLE_BYTES hold. Keys labelled twice have the lower label; without labels every score
+    is one half.
+    """
     known = labels.where(F.col("quality").isNotNull() & F.col(key).isNotNull() & (crc_mod(F.col(key), 5) != 0)).groupBy(key).agg(F.min("quality").alias("y"))
     chosen = bounded_sample(known, key, sample)
     spark = docs.sparkSession
-    ids = spark.createDataFrame([(r[key], int(r["y"])) for r in chosen], known.select(key, F.col("y").cast("int")).schema)
-    found = docs.select(key, text).join(F.broadcast(ids), key).limit(2 * sample).collect()
-    place = {r[key]: i for i, r in enumerate(chosen)}
-    found.sort(key=lambda r: (place[r[key]], r[text] or ""))
+    ids = spark.createDataFrame([(r[key], int(r["y"]), i) for i, r in enumerate(chosen)], known.select(key, F.col("y").cast("int"), F.lit(0).alias("place")).schema)
+    found = docs.select(key, text).where(text_bytes(text) <= LONGEST).join(F.broadcast(ids), key)
+    # bytes of the texts by hundredths of the sample, for the part of it that the driver can hold
+    step = max(1, -(-len(chosen) // 100))
+    sizes = dict(found.groupBy(F.floor(F.col("place") / step).alias("part")).agg(F.sum(text_bytes(text))).collect())
+    total, parts = 0, 0
+    for part in range(100):
+        total += sizes.get(part, 0)
+        if total > SAMPLE_BYTES:
+            break
+        parts = part + 1
+    found = found.where(F.col("place") < parts * step).limit(2 * sample).collect()
+    found.sort(key=lambda r: (r["place"], r[text] or ""))
     return fit_quality([(r[text], r["y"]) for r in found])
 
 
 def quality_scores(docs: DataFrame, model: QualityModel, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, score, and the columns of `keep`) for every row; null and empty texts get the bias alone. No shuffle."""
+    """(key, score, and the columns of `keep`) for every row; null and empty texts get the bias alone.
+
+    Repeated rows give repeated rows, an empty table none; columns may have any names. Very long texts are scored
+    whole, in blocks of their own. No shuffle.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():

@@ -49,6 +49,13 @@ def test_exact_stage_keeps_one_of_repeated_rows(spark):
     assert got == [("1", "a b"), ("2", "other"), ("None", "n")]
 
 
+def test_exact_stage_leaves_columns_of_clashing_names(spark):
+    rows = [(1, "a b", "mine", 7, "k"), (2, "ab", "yours", 8, "l"), (3, "c", None, 9, "m")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _digest string, kept int, k string")
+    out = P.exact(spark, docs, SF)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == [rows[0], rows[2]]
+
+
 @pytest.mark.parametrize("stage", [f for _, f in P.STAGES])
 def test_stages_take_empty_and_null_tables(spark, stage):
     kind = "doc_id long, text string, lang string, source string, n_chars long"

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from shardloom.llm import dac, licenses, near, quality, secrets
+from shardloom.llm import dac, ftrl, language, licenses, near, quality, secrets
 from shardloom.llm.bpe import LONG, BpeCodec
 from shardloom.llm.counts import PrefixCounts, count_tokens, prefix_counts
 from shardloom.llm.decontaminate import contamination
@@ -211,6 +211,51 @@ def test_language_on_held_out_rows(spark):
     assert np.mean([r.lang_pred == r.lang for r in held]) > 0.98 and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_document_frequencies_against_brute_force(spark):
+    texts = ["the house", None, "", "123", "the the tree", "the house", "x" * 50_000 + " the"]
+    n, df = language.document_frequencies(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3))
+    want = np.zeros(1 << language.BITS, int)
+    for t in texts:
+        n_letters, at, _ = next(language.counts([t]))
+        if n_letters:
+            want[at] += 1
+    assert n == 4 and df.tolist() == want.tolist() and want.max() == 4
+    n, df = language.document_frequencies(docs(spark, []))
+    assert n == 0 and not df.any()
+
+
+def test_sparse_counts_of_short_and_long_texts_agree(monkeypatch):
+    texts = ["The tree, the tree and a house", "", None, "äöü ß 1 x"]
+    short = [(n, at.tolist(), c.tolist()) for n, at, c in language.counts(texts)]
+    monkeypatch.setattr(language, "MANY", 1)
+    assert [(n, at.tolist(), c.tolist()) for n, at, c in language.counts(texts)] == short
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(i, "the and of house in a garden", "en", "x") for i in range(3_000)] + [(10_000 + i, "der und das haus im garten", "de", "x") for i in range(12)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string")
+    assert train_language(d, sample=20, least=0).names == ["en"]
+    m = train_language(d, sample=20, least=8)
+    assert m.names == ["de", "en"] and m.predict(["das haus und der garten"])[0] == ["de"]
+    got = languages(d.unionByName(d), m)
+    assert got.columns == ["doc_id", "lang_pred", "score"] and got.count() == 2 * len(rows)
+    assert languages(d.limit(0), m).count() == 0 and train_language(d.limit(0)).names == []
+
+
+def test_samples_are_bounded_in_bytes(spark, monkeypatch):
+    rows = [(i, "word " * (400 if i % 2 else 4000), int(i % 2)) for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    monkeypatch.setattr(ftrl, "SAMPLE_BYTES", 100_000)
+    monkeypatch.setattr(ftrl, "LONGEST", 10_000)
+    got = ftrl.bounded_sample(d, "doc_id", 1_000, "text")
+    assert 20 < len(got) < 100 and all(len(r["text"]) == 2000 for r in got)
+    seen = []
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 100_000)
+    monkeypatch.setattr(quality, "fit_quality", lambda rows: seen.extend(rows) or fit_quality(rows))
+    train_quality(d, d.select("doc_id", "quality"))
+    assert 0 < sum(len(t) for t, _ in seen) <= 100_000
+
+
 def test_language_of_odd_texts(spark):
     m = fit_language([("the and of house", "en"), ("der und das haus", "de")] * 40)
     got = {r.doc_id: r for r in languages(docs(spark, ODD_TEXTS), m).collect()}
