@@ -23,6 +23,15 @@ def fnv1a_py(text: str) -> int:
     return h
 
 
+def utf16_units(text: Column) -> Column:
+    """The UTF-16 code units of a text that isn't empty."""
+    wide = F.encode(text, "UTF-16BE")
+    return F.transform(
+        F.sequence(F.lit(0), (F.octet_length(wide) / 2).cast("int") - 1),
+        lambda i: F.conv(F.substring(F.hex(wide), i * 4 + 1, F.lit(4)), 16, 10).cast("bigint"),
+    )
+
+
 def fnv1a(text: Column) -> Column:
     """Unsigned FNV-1a of a string as bigint; null stays null."""
     flat = F.lit(FNV_BASIS)
@@ -33,14 +42,9 @@ def fnv1a(text: Column) -> Column:
     step = lambda h, c: ((h.bitwiseXOR(c)) * F.lit(FNV_PRIME)).bitwiseAND(F.lit(MASK32))
     start = F.lit(FNV_BASIS)
     ascii_fold = F.aggregate(F.split(text, ""), start, lambda h, c: step(h, F.ascii(c).cast("bigint")))
-    wide = F.encode(text, "UTF-16BE")
-    units = F.transform(
-        F.sequence(F.lit(0), (F.octet_length(wide) / 2).cast("int") - 1),
-        lambda i: F.conv(F.substring(F.hex(wide), i * 4 + 1, F.lit(4)), 16, 10).cast("bigint"),
-    )
     return (
         F.when(text == "", F.lit(FNV_BASIS))
-        .when(F.octet_length(text) != F.char_length(text), F.aggregate(units, start, step))
+        .when(F.octet_length(text) != F.char_length(text), F.aggregate(utf16_units(text), start, step))
         .when(F.char_length(text) <= FLAT, flat)
         .otherwise(ascii_fold)
     )
@@ -114,7 +118,10 @@ def ring_substitute(index: Column | str, candidates: Column) -> Column:
 
 def fnv1a_fold(text: Column) -> Column:
     """FNV-1a as a fold, for use inside lambdas, where the flat form would be repeated for nothing."""
-    return F.aggregate(F.split(text, ""), F.lit(FNV_BASIS), lambda h, c: ((h.bitwiseXOR(F.ascii(c).cast("bigint"))) * F.lit(FNV_PRIME)).bitwiseAND(F.lit(MASK32)))
+    step = lambda h, c: ((h.bitwiseXOR(c)) * F.lit(FNV_PRIME)).bitwiseAND(F.lit(MASK32))
+    narrow = F.aggregate(F.split(text, ""), F.lit(FNV_BASIS), lambda h, c: step(h, F.ascii(c).cast("bigint")))
+    wide = F.octet_length(text) != F.char_length(text)
+    return F.when(text == "", F.lit(FNV_BASIS)).when(wide, F.aggregate(utf16_units(text), F.lit(FNV_BASIS), step)).otherwise(narrow)
 
 
 def manifest_bucket(tx: Column, at: Column) -> list[Column]:

@@ -97,8 +97,11 @@ class Catalog:
 
 
 def lay_out(df: DataFrame, path: str) -> None:
-    """Writes a routed table by shard, sorted by tenant and key within files, so that scans prune by both."""
-    df.repartition(SHARD).sortWithinPartitions(SHARD, TENANT, KEY).write.mode("overwrite").partitionBy(SHARD).parquet(path)
+    """Writes a routed table by shard, sorted by tenant and key within files, so that scans prune by both.
+
+    Tasks take ranges of shard, tenant and key, so that a shard is written by as many as its rows need.
+    """
+    df.repartitionByRange(SHARD, TENANT, KEY).sortWithinPartitions(SHARD, TENANT, KEY).write.mode("overwrite").partitionBy(SHARD).parquet(path)
 
 
 def route_batch(keys: DataFrame, bucket_map: DataFrame) -> DataFrame:

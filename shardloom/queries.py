@@ -881,16 +881,34 @@ def sql_guard(spark, d):
 # -- stateful mechanisms ---------------------------------------------------------------------------
 
 
-@query("token_bucket")
+@query(
+    "token_bucket",
+    "with recursive e as (select 'u' || (user_id % 16) as tenant, epoch_us(ts) // 1000000 as t, row_number() over (partition by user_id % 16 order by epoch_us(ts) // 1000000, event_id) as rn from events), "
+    f"s as (select distinct tenant, 0::bigint as rn, {T.CAPACITY}::double as tokens, null::bigint as last_t, 0::bigint as allowed, 0::bigint as limited from e union all "
+    "select tenant, rn, case when have >= 1 then have - 1 else tokens end, case when have >= 1 then t else last_t end, allowed + (have >= 1)::int, limited + (have < 1)::int from ("
+    f"select e.tenant, e.rn, e.t, s.tokens, s.last_t, s.allowed, s.limited, case when s.last_t is null then {T.CAPACITY}::double else least({T.CAPACITY}::double, s.tokens + greatest(0::double, (e.t - s.last_t)::double / 1000) * {T.REFILL}::double) end as have "
+    "from s join e on e.tenant = s.tenant and e.rn = s.rn + 1) z) "
+    "select tenant, max(allowed) as allowed, max(limited) as limited, round(arg_max(tokens, rn), 6) as tokens from s group by tenant",
+)
 def token_bucket(spark, d):
     e = ts_events(spark, d).withColumn("tenant", F.concat(F.lit("u"), F.col("user_id") % 16)).withColumn("at_ms", F.floor(S.epoch_ms(F.col("ts")) / 1000))
     return T.token_bucket(e, "tenant", "at_ms", "event_id")
 
 
-@query("circuit_breaker")
+@query(
+    "circuit_breaker",
+    "with recursive e as (select user_id % 16 as target, epoch_us(ts) // 1000 as t, event_type = 'error' as f, row_number() over (partition by user_id % 16 order by epoch_us(ts) // 1000, event_id) as rn from events), "
+    "s as (select distinct target, 0::bigint as rn, 0 as fails, 0::bigint as since, 0::bigint as til, 0 as opens, 0::bigint as opened, 0::bigint as refused from e union all "
+    "select target, rn, case when ref then fails when op or cl then 0 else nf end, case when ref then since when op or cl then 0 when inside then since else t end, "
+    "case when ref then til when op then t + cool when cl then 0 else til end, case when ref then opens when op then opens + 1 when cl then 0 else opens end, opened + op::int, refused + ref::int from ("
+    "select *, not ref and f and (probe or nf >= 3) as op, not ref and not f as cl from (select *, case when inside then fails + 1 else 1 end as nf from ("
+    "select e.target, e.rn, e.t, e.f, s.fails, s.since, s.til, s.opens, s.opened, s.refused, s.til > e.t as ref, s.til <= e.t and s.til > 0 as probe, s.since > 0 and e.t - s.since <= 3600000 as inside, "
+    "least(86400000, 3600000 * pow(2, least(s.opens, 10)))::bigint as cool from s join e on e.target = s.target and e.rn = s.rn + 1) a) b) c) "
+    "select target, max(opened) as opened, max(refused) as refused, arg_max(til, rn) as open_until_ms from s group by target",
+)
 def circuit_breaker(spark, d):
     e = ts_events(spark, d).withColumns({"at_ms": S.epoch_ms(F.col("ts")), "failed": F.col("event_type") == "error", "target": F.col("user_id") % 16})
-    return T.circuit_breaker(e, "target", "at_ms", "failed", 3, 3_600_000, 86_400_000)
+    return T.circuit_breaker(e, "target", "at_ms", "failed", 3, 3_600_000, 86_400_000, "event_id")
 
 
 @query("stream_dedup", REQ + " select request_id, count(*) as n from (select request_id from q group by request_id) group by request_id")

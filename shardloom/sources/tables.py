@@ -35,8 +35,12 @@ def ts_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def work_path(spark: SparkSession, kind: str) -> str:
-    """A fresh path in the folder that the cluster shares (spark.checkpoint.dir), or in /tmp where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/shardloom-work"
+    """A fresh path in the folder that the cluster shares (spark.checkpoint.dir), or in /tmp where none is set on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "/tmp/shardloom-work"
     return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 

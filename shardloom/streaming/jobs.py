@@ -106,14 +106,14 @@ def token_bucket_stream(stream: DataFrame, tenant: str, at_ms: str) -> DataFrame
 # -- circuit breaker -------------------------------------------------------------------------------
 
 
-def circuit_breaker(attempts: DataFrame, by: str, at_ms: str, failed: str, threshold: int, window_ms: int, max_cooldown_ms: int) -> DataFrame:
-    """(by, opened, refused, open_until_ms) after attempts in order: a fold.
+def circuit_breaker(attempts: DataFrame, by: str, at_ms: str, failed: str, threshold: int, window_ms: int, max_cooldown_ms: int, order: str | None = None) -> DataFrame:
+    """(by, opened, refused, open_until_ms) after attempts in order of time, at equal times of `order`: a fold.
 
     `threshold` failures within a window open the circuit; while open, attempts are refused; the first one
     after that is a probe, whose failure opens it again for twice as long and whose success closes it.
     """
     kind = "struct<fails:int,since:bigint,until:bigint,opens:int,opened:bigint,refused:bigint>"
-    rows = attempts.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(at_ms).alias("t"), F.col(failed).alias("f")))).alias("xs"))
+    rows = attempts.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(at_ms).alias("t"), (F.col(order) if order else F.lit(None)).alias("o"), F.col(failed).alias("f")))).alias("xs"))
     zero = F.struct(*(F.lit(0).alias(n) for n in ("fails", "since", "until", "opens", "opened", "refused"))).cast(kind)
 
     def step(s: Column, x: Column) -> Column:

@@ -302,3 +302,18 @@ def test_streams_count_whole_tables_in_any_order(spark, sf, tmp_path):
     want = {(r.d, r.event_type): r["count"] for r in more.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("d"), "event_type").count().collect()}
     assert rows == want
     assert {r.n for r in QUERIES["stream_dedup"](spark, str(tmp_path)).collect()} == {1}
+
+
+def test_fold_hashes_utf16_units(spark):
+    from shardloom.functions.hashing import fnv1a_fold, fnv1a_py
+
+    texts = ["", "plain", "é", "a😀b", "漢字", "x" * 100, "😀" * 40]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", fnv1a_fold(F.col("t")).alias("h")).collect()
+    assert {r.t: r.h for r in rows} == {t: fnv1a_py(t) for t in texts}
+
+
+def test_attempts_at_one_time_keep_their_order(spark):
+    first = spark.createDataFrame([("a", 10, 0, True), ("a", 10, 1, False), ("a", 10, 2, True)], "c string, t long, o long, f boolean")
+    last = spark.createDataFrame([("a", 10, 0, False), ("a", 10, 1, True), ("a", 10, 2, True)], "c string, t long, o long, f boolean")
+    opened = [T.circuit_breaker(df, "c", "t", "f", 2, 100, 10_000, "o").first().opened for df in (first, last)]
+    assert opened == [0, 1]
