@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,32 +122,44 @@ def attempt_due(queue: DataFrame, now_ms: int, delivered: Column, retry: tuple[i
 
 # -- locks and breakers ----------------------------------------------------------------------------
 
-_LOCK = "struct<holder:string,until:bigint,outcome:string>"
-
 
 def topology_lock(requests: DataFrame, by: str, life_ms: int = LOCK_MS) -> DataFrame:
     """Requests (by, seq, at_ms, kind, operation) on each catalog's one lock, with their outcome.
 
     `kind` is acquire, heartbeat, release or holds. A lock that has outlived its last heartbeat counts as free.
+    A catalog's requests pass through one task in their order, which sorts them with spilling and keeps no more
+    than the lock's state from one to the next; catalogs are spread over tasks.
     """
-    m = F.struct("seq", "at_ms", "kind", "operation")
-    rows = requests.groupBy(by).agg(F.array_sort(F.collect_list(m)).alias("ms"))
-    start = F.struct(F.lit(None).cast("string").alias("holder"), F.lit(0).cast("bigint").alias("until"), F.lit("").alias("outcome")).cast(_LOCK)
-
-    def step(s: Column, x: Column) -> Column:
-        live = s["holder"].isNotNull() & (s["until"] > x["at_ms"])
-        mine = F.coalesce(s["holder"] == x["operation"], F.lit(False))
-        outcome = (
-            F.when(x["kind"] == "acquire", F.when(live, "in_progress").otherwise("acquired"))
-            .when(x["kind"] == "heartbeat", F.when(live & mine, "refreshed").otherwise("lock_lost"))
-            .when(x["kind"] == "release", F.when(mine, "released").otherwise("not_held"))
-            .otherwise(F.when(live & mine, "holds").otherwise("does_not_hold"))
-        )
-        taken = outcome.isin("acquired", "refreshed")
-        holder = F.when(outcome == "acquired", x["operation"]).when(outcome == "released", F.lit(None).cast("string")).otherwise(s["holder"])
-        return F.struct(holder.alias("holder"), F.when(taken, x["at_ms"] + F.lit(life_ms)).otherwise(s["until"]).alias("until"), outcome.alias("outcome")).cast(_LOCK)
-
-    empty = F.array().cast(f"array<{_LOCK}>")
-    states = F.aggregate("ms", empty, lambda acc, x: F.concat(acc, F.array(step(F.coalesce(F.try_element_at(acc, F.lit(-1)), start), x))))
-    out = rows.select(by, F.explode(F.arrays_zip("ms", states.alias("states"))).alias("z"))
-    return out.select(by, F.col("z.ms.seq").alias("seq"), F.col("z.states.outcome").alias("outcome"))
+    turn = F.row_number().over(Window.partitionBy(by).orderBy("seq", "at_ms", "kind", "operation"))
+    rows = requests.select(F.col(by).alias("by"), "seq", "at_ms", "kind", "operation", (turn == 1).alias("first"))
+
+    def run(batches):
+        holder = until = None
+        for batch in batches:
+            outcomes = []
+            for at, kind, operation, first in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                if first:
+                    holder = until = None
+                live = holder is not None and until is not None and at is not None and until > at
+                mine = holder is not None and holder == operation
+                if kind == "acquire":
+                    outcome = "in_progress" if live else "acquired"
+                elif kind == "heartbeat":
+                    outcome = "refreshed" if live and mine else "lock_lost"
+                elif kind == "release":
+                    outcome = "released" if mine else "not_held"
+                else:
+                    outcome = "holds" if live and mine else "does_not_hold"
+                if outcome == "acquired":
+                    holder = operation
+                elif outcome == "released":
+                    holder = None
+                if outcome in ("acquired", "refreshed"):
+                    until = None if at is None else at + life_ms
+                outcomes.append(outcome)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(outcomes, pa.string())], ["by", "seq", "outcome"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    out = rows.mapInArrow(run, f"by {kinds['by']}, seq {kinds['seq']}, outcome string")
+    return out.select(F.col("by").alias(by), "seq", "outcome")
+

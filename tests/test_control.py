@@ -1,5 +1,7 @@
 """Transactions and control tables: cases that the fixtures' oracles don't reach."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +59,24 @@ def test_lock_outlives_nothing(spark):
     assert [r.outcome for r in got] == ["acquired", "in_progress", "refreshed", "holds", "lock_lost", "acquired", "not_held"]
 
 
+def test_a_long_log_of_one_lock_takes_linear_time(spark):
+    n = 120_000
+    rows = spark.range(n).selectExpr("'c' as c", "id as seq", "id * 1000 as at_ms", "case id % 40 when 0 then 'acquire' when 20 then 'heartbeat' when 39 then 'release' else 'holds' end as kind", "'x' as operation").repartition(5)
+    began = time.monotonic()
+    got = {r.outcome: r.n for r in control.topology_lock(rows, "c").groupBy("outcome").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {"acquired": n // 40, "refreshed": n // 40, "released": n // 40, "holds": n // 40 * 37}
+    assert time.monotonic() - began < 60  # copying the states so far for each request took minutes
+
+
+def test_locks_of_null_catalogs_and_odd_requests(spark):
+    rows = [
+        (None, 1, 0, "acquire", "x"), (None, 2, 1, "holds", "x"), (1.0, 1, 0, "release", "x"), (1.0, 2, 5, "acquire", None), (1.0, 3, 6, "acquire", "y"),
+        (float("nan"), 1, 0, "acquire", "x"), (float("nan"), 2, 1, None, "x"), (float("nan"), 3, None, "heartbeat", "x"), (float("nan"), 4, None, "release", "x"),
+    ]
+    got = control.topology_lock(spark.createDataFrame(rows, "c double, seq long, at_ms long, kind string, operation string"), "c").orderBy("c", "seq").collect()
+    assert [r.outcome for r in got] == ["acquired", "holds", "not_held", "acquired", "acquired", "acquired", "holds", "lock_lost", "released"]
+
+
 def test_empty_control_tables(spark):
     schedule = spark.createDataFrame([], "purpose string, fire_at_ms long, generation long")
     assert control.retention_schedule(schedule, spark.createDataFrame([], "retention_deadline_ms long")).count() == 0
