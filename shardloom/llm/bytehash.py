@@ -68,12 +68,12 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def byte_blocks(texts: pa.Array):
-    """(first row, end row, bytes, offsets) of runs of rows with about BLOCK bytes."""
+def byte_blocks(texts: pa.Array, size: int = BLOCK):
+    """(first row, end row, bytes, offsets) of runs of rows with about `size` bytes."""
     raw, off = buffers(texts)
     a, n = 0, len(off) - 1
     while a < n:
-        b = max(a + 1, int(np.searchsorted(off, off[a] + BLOCK, side="right")) - 1)
+        b = max(a + 1, int(np.searchsorted(off, off[a] + size, side="right")) - 1)
         b = min(b, n)
         yield a, b, raw[off[a] : off[b]], off[a : b + 1] - off[a]
         a = b

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -204,6 +205,20 @@ def test_quality_of_odd_texts_and_blocks(spark):
     assert quality_scores(docs(spark, []), m).count() == 0
 
 
+def test_fitting_quality_needs_little_memory_beside_the_texts():
+    rnd = random.Random(20)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(2, 9)))
+    rows = [(" ".join(word() for _ in range(600)), i % 2) for i in range(600)]
+    fit_quality(rows[:2])
+    tracemalloc.start()
+    try:
+        fit_quality(rows)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 22_000_000  # for 2 MB of text; 36 MB when examples were held in 64-bit numbers, from larger blocks
+
+
 def test_language_on_held_out_rows(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = languages(d, train_language(d)).join(d.select("doc_id", "lang"), "doc_id").collect()
