@@ -160,26 +160,36 @@ class BpeTables:
             self.shorter[t] = out[link[node]]
         self.longest = np.array(out, np.int32)
         # every transition, level by level: a state's own edges over those of its suffix link; a state
-        # without edges of its own shares the row of its link
+        # without edges of its own shares the row of its link. A row is 16 numbers of blocks of 16 transitions, and
+        # shares with its link's row the blocks in which it has no edge: all transitions at once take six times as much
         depth, links = np.array(depth_of), np.array(link)
         key, nxt = np.array(list(edges), np.int64), np.array(list(edges.values()), np.int32)
         inner = np.zeros(len(link), bool)
         inner[0] = True
         inner[key >> 8] = True
         row = np.cumsum(inner) - 1
-        goto = np.zeros((int(inner.sum()), 256), np.int32)
+        part, goto, used = np.zeros((int(inner.sum()), 16), np.int32), np.zeros((len(key) + 1, 16), np.int32), 1
         for d in range(depth.max() + 1):
             at = np.flatnonzero((depth == d) & inner)
             if d:
                 leaf = np.flatnonzero((depth == d) & ~inner)
                 row[leaf] = row[links[leaf]]
-                goto[row[at]] = goto[row[links[at]]]
+                part[row[at]] = part[row[links[at]]]
             own = np.flatnonzero(depth[key >> 8] == d)
-            goto[row[key[own] >> 8], key[own] & 255] = nxt[own]
-        self.goto, self.row = goto.reshape(-1), (row * 256).astype(np.int32)
+            of, byte = row[key[own] >> 8], key[own] & 255
+            changed, which = np.unique(of * 16 + (byte >> 4), return_inverse=True)
+            goto[used : used + len(changed)] = goto[part[changed >> 4, changed & 15]]
+            part[changed >> 4, changed & 15] = np.arange(used, used + len(changed))
+            goto[used + which, byte & 15] = nxt[own]
+            used += len(changed)
+        self.goto, self.part, self.row = goto[:used].flatten(), (part * 16).reshape(-1), (row * 16).astype(np.int32)
         self.memo_key = np.full(1 << MEMO_BITS, -1, np.int64)
         self.memo_fit = np.zeros(1 << MEMO_BITS, bool)
 
+    def step(self, state, byte):
+        """The state after a byte, for numbers or arrays of them."""
+        return self.goto[self.part[self.row[state] + (byte >> 4)] + (byte & 15)]
+
     def fits(self, a, b):
         """Whether token b may follow token a, for arrays of pairs.
 
@@ -258,7 +268,7 @@ class BpeCodec:
         alive = np.searchsorted(-lens, -np.arange(1, top + 1), side="right")
         for j in range(1, top + 1):
             k = int(alive[j - 1])
-            state[:k] = t.goto[t.row[state[:k]] + flat[starts[:k] + (j - 1)]]
+            state[:k] = t.step(state[:k], flat[starts[:k] + (j - 1)])
             at, cand = np.arange(k), t.longest[state[:k]]
             while len(at):
                 back = j - t.length[cand]
@@ -278,7 +288,7 @@ class BpeCodec:
             memo.clear()
         s = 0
         for j, byte in enumerate(word, 1):
-            s = int(t.goto[int(t.row[s]) + byte])
+            s = int(t.step(s, byte))
             cand = int(t.longest[s])
             while True:
                 back = j - int(t.length[cand])

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from shardloom.llm.bpe import blocks
 from shardloom.llm.bytehash import mix
 from shardloom.llm.ftrl import Ftrl, activate, bounded_sample, crc_mod
-from shardloom.llm.shared import map_arrow
+from shardloom.llm.shared import bound_batches, give_back, map_arrow
 
 BITS = 15
 ORDERS = (1, 2, 3)
@@ -137,24 +137,24 @@ def fit_language(rows: list[tuple[str, str]], epochs: int = EPOCHS, seen: tuple[
 def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[int, np.ndarray]:
     """(documents with a letter, for each hash the number of documents that have it), over all rows.
 
-    Counts are added up for each batch, then for each task, so that a task sends one row a hash at most; the
-    driver gets 2 ** BITS rows at most.
+    Counts are added up for each task, so that it sends one row a hash at most; the driver gets 2 ** BITS rows at most.
     """
+    bound_batches(docs.sparkSession)
 
-    def make():
-        def f(batch):
-            df = np.zeros((1 << BITS) + 1, np.int64)
+    def run(batches):
+        df = np.zeros((1 << BITS) + 1, np.int64)
+        for batch in batches:
             for block in blocks(batch.column(0).to_pylist()):
                 for n_letters, at, _ in counts(block):
                     if n_letters:
                         df[at] += 1
                         df[-1] += 1
-            at = np.flatnonzero(df)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], ["h", "n"])
-
-        return f
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], ["h", "n"])
+        del df, at
+        give_back()
 
-    rows = map_arrow(docs.select(F.col(text).alias("t")), make, "h int, n bigint").groupBy("h").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(F.col(text).alias("t")).mapInArrow(run, "h int, n bigint").groupBy("h").agg(F.sum("n").alias("n")).collect()
     df = np.zeros((1 << BITS) + 1, np.int64)
     for r in rows:
         df[r["h"]] = r["n"]

@@ -99,6 +99,20 @@ def test_short_and_long_paths_agree():
         assert last[1 : len(w) + 1, i].tolist() == a[1:] and count[: len(w) + 1, i].tolist() == b
 
 
+def test_automaton_is_small_and_names_the_longest_token_that_ends_a_prefix():
+    t = BpeCodec(vocabulary()).t
+    assert sum(v.nbytes for v in vars(t).values() if isinstance(v, np.ndarray)) < 24 << 20  # each worker of an executor has it
+    specials = set(t.special.values())
+    known = {b: i for i, b in enumerate(t.bytes_of) if b and i not in specials}
+    rng = random.Random(3)
+    for text in [x for x in ODD_TEXTS if x] + ["".join(rng.choices("etaoin shrdlu\té漢", k=300))]:
+        raw, states = text.encode(), np.zeros(1, np.int64)
+        for j, byte in enumerate(raw[:400], 1):
+            states = t.step(states, np.array([byte], np.uint8))
+            longest = next(known[raw[i:j]] for i in range(max(0, j - 130), j) if raw[i:j] in known)
+            assert t.longest[states[0]] == longest
+
+
 def test_prefix_counts_answer_budgets_without_encoding_again(spark, sf, library):
     c = BpeCodec(vocabulary())
     for t in [x for x in ODD_TEXTS + sample(spark, sf, 5) if x and len(x) < 4000]:
@@ -196,6 +210,34 @@ def test_quality_does_not_learn_from_held_out_rows(spark):
     assert set(quality.QualityModel.score(train_quality(d, labels), pa.array(["good text here", "", None])).tolist()) == {0.5}
 
 
+def test_quality_starts_no_workers_for_rows_of_the_driver(spark, monkeypatch):
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    expected = train_quality(d, labels)
+
+    def refuse(*_, **__):
+        raise AssertionError("rows pickled by the driver take workers of their own on executors")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refuse)
+    for column in (F.col("doc_id"), F.concat(F.lit("k"), F.col("doc_id").cast("string"))):
+        model = train_quality(d.withColumn("doc_id", column), labels.withColumn("doc_id", column))
+        assert model.weights.any()
+    assert np.array_equal(train_quality(d, labels).weights, expected.weights)
+
+
+@pytest.mark.parametrize("before", [None, ("0", "64m"), ("5", "1024")])
+def test_batches_are_bounded_whatever_the_session_has(spark, before):
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    for i, k in enumerate(names):
+        spark.conf.set(k, before[i]) if before else spark.conf.unset(k)
+    count_tokens(docs(spark, ["a"]), vocabulary())
+    now = [spark.conf.get(k) for k in names]
+    assert now == (list(before) if before == ("5", "1024") else ["2000", str(8 << 20)])
+    quality_scores(docs(spark, ["a"]), fit_quality([("a", 1)]))
+    assert int(spark.conf.get(names[1])) <= 2 << 20
+    for k in names:
+        spark.conf.unset(k)
+
+
 def test_quality_of_odd_texts_and_blocks(spark):
     m = fit_quality([("clean words in a row", 1), ("NOISE!! NOISE!! NOISE!!", 0)] * 20)
     got = quality_scores(docs(spark, ODD_TEXTS), m, keep=("lang", "n_chars")).orderBy("doc_id").collect()
