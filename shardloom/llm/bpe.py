@@ -236,7 +236,8 @@ class BpeCodec:
         self._first = next(iter(self.t.special), None)
         self._ids: dict[str, bytes] = {}
         self._runs: dict[str, bytes] = {}
-        self._counts: dict[str, np.ndarray] = {}
+        self._ends: dict[str, int] = {}
+        self._stored = np.zeros(0, np.int32)
         self._totals: dict[str, int] = {}
         self._fit_memo: dict[tuple[int, int], bool] = {}
         self.decimal = [str(i) for i in range(len(self.t.bytes_of))]
@@ -308,26 +309,49 @@ class BpeCodec:
         """Tokens of word[:j] for j = 0 ... len(word), for one pretoken."""
         return np.array(self._long(word)[1], np.int32)
 
+    def _store(self, pieces: list[str]) -> None:
+        """Puts the tokens of every prefix of these pretokens, from 0 bytes to all, one after the other in one array.
+
+        `_ends` has the place of each one's last count. An array that is outgrown isn't written to any more.
+        """
+        new = set(pieces).difference(self._ends)
+        if len(self._ends) + len(new) > CACHE:
+            self._ends.clear()
+            self._stored = np.zeros(0, np.int32)
+            new = set(pieces)
+        if not new:
+            return
+        words = list(new)
+        coded = [w.encode() for w in words]
+        size = np.fromiter(map(len, coded), np.int64, len(coded))
+        order = np.argsort(-size, kind="stable")
+        n_long = int((size > LONG).sum())
+        held = [self._stored]
+        for i in order[:n_long].tolist():
+            held.append(np.array(self._long(coded[i])[1], np.int32))
+        for a in range(n_long, len(order), 20_000):
+            part = order[a : a + 20_000]
+            _, count = self._many([coded[i] for i in part.tolist()])
+            held.append(count.T[np.arange(len(count)) <= size[part][:, None]])
+        ends = len(self._stored) - 1 + np.cumsum(size[order] + 1)
+        self._stored = np.concatenate(held)
+        self._ends.update(zip([words[i] for i in order.tolist()], ends.tolist(), strict=True))
+        for s in new.intersection(self.t.special):
+            self._stored[self._ends[s] - len(s.encode()) + 1 : self._ends[s] + 1] = 1
+
     def prefix_counts_of(self, pieces: list[str]) -> list[np.ndarray]:
         """For each pretoken the tokens of its every prefix, from 0 bytes to all: stored, so that nothing is run twice."""
-        new = set(pieces).difference(self._counts)
-        if len(self._counts) + len(new) > CACHE:
-            self._counts.clear()
-            new = set(pieces)
-        for s in [s for s in self.t.special if s in new]:
-            self._counts[s] = np.concatenate((np.zeros(1, np.int32), np.ones(len(s.encode()), np.int32)))
-            new.discard(s)
-        coded = sorted(((w.encode(), w) for w in new), key=lambda x: -len(x[0]))
-        n_long = sum(len(raw) > LONG for raw, _ in coded)
-        for raw, w in coded[:n_long]:
-            self._counts[w] = self.prefix_counts(raw)
-        for a in range(n_long, len(coded), 20_000):
-            part = coded[a : a + 20_000]
-            _, count = self._many([raw for raw, _ in part])
-            count = np.ascontiguousarray(count.T)
-            for i, (raw, w) in enumerate(part):
-                self._counts[w] = count[i, : len(raw) + 1].copy()
-        return [self._counts[p] for p in pieces]
+        self._store(pieces)
+        return [self._stored[self._ends[p] - len(p.encode()) : self._ends[p] + 1] for p in pieces]
+
+    def _totals_of(self, lists: list[list[str]]) -> list[int]:
+        """The last prefix counts of each list's pretokens, added up."""
+        flat = list(itertools.chain.from_iterable(lists))
+        self._store(flat)
+        last = self._stored[np.fromiter(map(self._ends.__getitem__, flat), np.int64, len(flat))]
+        up = np.concatenate((np.zeros(1, np.int64), np.cumsum(last, dtype=np.int64)))
+        ends = np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))
+        return np.diff(up[ends], prepend=0).tolist()
 
     def _encode_new(self, words: list[str]) -> None:
         """Puts the ids of these pretokens (as little-endian uint32 bytes) in the map."""
@@ -411,23 +435,25 @@ class BpeCodec:
         return b"".join(map(self.t.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
     def count(self, texts: list[str | None]) -> list[int]:
-        """Tokens of each text: the last prefix counts of its pretokens, added up. Sums are kept for runs, as ids are."""
+        """Tokens of each text: the last prefix counts of its pretokens, added up.
+
+        For texts beyond Latin letters, whose pretokens take longer to find, sums are kept for runs, as ids are.
+        """
         out, totals = [], self._totals
         for block in blocks(texts):
-            parts = [self._split(x) if x else [] for x in block]
+            odd = [i for i, x in enumerate(block) if x and _ODD.search(x)]
+            parts = [self._split(block[i]) for i in odd]
             new = set(itertools.chain.from_iterable(parts)).difference(totals)
             if len(totals) + len(new) > CACHE:
                 totals.clear()
                 new = set(itertools.chain.from_iterable(parts))
-            new = [r for r in new if r not in self.t.special]
-            pieces = list(map(_find if _ODD.search("".join(new)) else _LATIN.findall, new))
-            last = [int(c[-1]) for c in self.prefix_counts_of(list(itertools.chain.from_iterable(pieces)))]
-            at = 0
-            for r, p in zip(new, pieces, strict=True):
-                totals[r] = last[at] if len(p) == 1 else sum(last[at : at + len(p)])
-                at += len(p)
-            totals.update(dict.fromkeys(self.t.special, 1))
-            out += [sum(map(totals.__getitem__, p)) for p in parts]
+            new = list(new)
+            totals.update(zip(new, self._totals_of([[r] if r in self.t.special else _find(r) for r in new]), strict=True))
+            rest = set(odd)
+            n = self._totals_of([self.pretokens(x) if x and i not in rest else [] for i, x in enumerate(block)])
+            for i, p in zip(odd, parts, strict=True):
+                n[i] = sum(map(totals.__getitem__, p))
+            out += n
         return out
 
 
@@ -459,6 +485,7 @@ def forget() -> None:
     for c in _CODECS.values():
         c._ids.clear()
         c._runs.clear()
-        c._counts.clear()
+        c._ends.clear()
+        c._stored = np.zeros(0, np.int32)
         c._totals.clear()
         c._fit_memo.clear()

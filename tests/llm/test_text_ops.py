@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from shardloom.llm import dac, ftrl, language, licenses, near, quality, secrets
+from shardloom.llm import bpe, dac, ftrl, language, licenses, near, quality, secrets
 from shardloom.llm.bpe import LONG, BpeCodec
 from shardloom.llm.counts import PrefixCounts, count_tokens, prefix_counts
 from shardloom.llm.decontaminate import contamination
@@ -136,6 +136,25 @@ def test_counts(spark, library):
         assert got[i].cut_3 <= got[i].n_bytes
 
 
+def test_prefix_counts_are_stored_in_one_array_whatever_the_blocks(library, monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(2000)) for _ in range(10)]
+    texts += [x for x in ODD_TEXTS if x and "\U00010ed9" not in x] + [None, "漢字 が  <|endoftext|> é " * 40, "<|endoftext|>" * 3]
+    expected = [len(library.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    c = BpeCodec(vocabulary())
+    c.count(["warm up"])
+    tracemalloc.start()
+    assert c.count(texts) == expected
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 20_000 * 190  # an array of its own for each pretoken takes more
+    monkeypatch.setattr(bpe, "CACHE", 500)
+    assert [n for t in texts for n in c.count([t])] == expected and c.count(texts) == expected
+    pieces = c.pretokens(texts[0])[:50]
+    c.count(texts)
+    assert [p.tolist() for p in c.prefix_counts_of(pieces)] == [c.prefix_counts(p.encode()).tolist() for p in pieces]
+
+
 def test_counts_of_one_long_pretoken_and_odd_tables(spark, library):
     c = BpeCodec(vocabulary())
     p = prefix_counts(c, "a" * 3000)
